@@ -18,20 +18,21 @@ from pactlens.session import cut_lineage, spread
 
 
 def shingle_sets(rows: DataFrame, id_col: str = "id", text: str = "text") -> DataFrame:
-    """(id, shingles, n) with 64-bit shingle hashes; rows without shingles are dropped."""
-    return spread(rows.select(id_col, text)).select(
-        F.col(id_col).alias("id"), shingle_hashes(F.col(text)).alias("shingles")
-    ).withColumn("n", F.size("shingles")).filter("n > 0")
+    """(id, shingles) with sorted 64-bit shingle hashes; rows without words are dropped."""
+    worded = rows.select(id_col, text).filter(~is_blank(F.col(text)))
+    return spread(worded).select(
+        F.col(id_col).alias("id"), shingle_hashes(F.col(text)).alias("shingles"))
 
 
 def collapse_copies(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows with equal shingle sets -> (first row of each set, id -> first_id of the rest)."""
-    keyed = cut_lineage(sets.withColumn(
-        "set_key", F.sha2(F.array_join(F.col("shingles"), ","), 256)))
-    first = keyed.groupBy("set_key").agg(F.min("id").alias("first_id"))
-    copies = keyed.select("id", "set_key").join(first, "set_key").filter("id <> first_id")
+    keyed = cut_lineage(sets).withColumn("n", F.size("shingles"))
+    keys = keyed.select(
+        "id", F.sha2(F.array_join(F.col("shingles"), ","), 256).alias("set_key"))
+    first = keys.groupBy("set_key").agg(F.min("id").alias("first_id"))
+    copies = keys.join(first, "set_key").filter("id <> first_id").select("id", "first_id")
     firsts = keyed.join(first.select(F.col("first_id").alias("id")), "id", "left_semi")
-    return firsts.select("id", "shingles", "n"), copies.select("id", "first_id")
+    return firsts, copies
 
 
 def rare_first(sets: DataFrame) -> DataFrame:
@@ -165,9 +166,10 @@ def similar_to(
     text: str = "text", threshold: float = D.NEAR_DUPLICATE_JACCARD,
 ) -> DataFrame:
     """First row of ``others`` (lowest id) that each row is near-identical to."""
-    mine = shingle_sets(rows, id_col, text)
+    mine = shingle_sets(rows, id_col, text).withColumn("n", F.size("shingles"))
     theirs = shingle_sets(others, other_id, text).select(
-        F.col("id").alias("other_id"), F.col("shingles").alias("other"), F.col("n").alias("m"))
+        F.col("id").alias("other_id"), F.col("shingles").alias("other"),
+        F.size("shingles").alias("m"))
     length = lambda n: F.col(n) - F.ceil(F.col(n) * threshold - 1e-9).cast("int") + 1
     probe = mine.select("id", "shingles", "n", F.explode(
         F.slice("shingles", F.lit(1), length("n"))).alias("token"))

@@ -41,10 +41,12 @@ def nearest_rank_percentiles(
         "upper",
         (F.sum("n").over(upto) - F.col("n")).alias("before"),
         F.sum("n").over(upto).alias("upto"),
+        F.sum("n").over(everything).alias("total"),
+    ).select(
+        "*",
         F.explode(F.array(*[
             F.struct(F.lit(f"p{round(q * 100)}").alias("name"), F.lit(q).alias("q"))
             for q in quantiles])).alias("target"),
-        F.sum("n").over(everything).alias("total"),
     ).withColumn(
         "rank", F.rint(F.col("target.q") * (F.col("total") - 1)).cast("long")
     ).filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("upto")))
