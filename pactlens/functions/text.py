@@ -110,13 +110,13 @@ def fold_fragments(parts: Column) -> Column:
     )
 
     def step(state: Column, part: Column) -> Column:
-        joined = F.when(state["open"].isNull(), part).otherwise(
+        whole = F.when(state["open"].isNull(), part).otherwise(
             F.concat(state["open"], F.lit("\n"), part))
-        return F.struct(
+        return bind(whole, lambda joined: F.struct(
             F.when(is_short(joined), state["done"])
             .otherwise(F.concat(state["done"], F.array(joined))).alias("done"),
             F.when(is_short(joined), joined).alias("open"),
-        )
+        ))
 
     def finish(state: Column) -> Column:
         done, rest = state["done"], state["open"]
@@ -155,6 +155,11 @@ def coverage_ratio(col: Column, parts: Column) -> Column:
     return F.when(source == 0, F.lit(1.0)).otherwise(kept / source)
 
 
+def bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body``, inside lambdas too."""
+    return F.transform(F.array(value), body)[0]
+
+
 def locate_parts(text: Column, parts: Column) -> Column:
     """Offsets (0-based) of ordered parts in ``text``, searched with a moving cursor.
 
@@ -168,9 +173,7 @@ def locate_parts(text: Column, parts: Column) -> Column:
         F.lit(None).cast("int").alias("missing"),
     )
 
-    def step(state: Column, part: Column) -> Column:
-        needle = normalise_whitespace(part)
-        at = F.position(needle, text, state["cursor"] + 1) - 1
+    def advance(state: Column, needle: Column, at: Column) -> Column:
         skip = (needle == "") | state["missing"].isNotNull()
         found = ~skip & (at >= 0)
         return F.struct(
@@ -182,19 +185,18 @@ def locate_parts(text: Column, parts: Column) -> Column:
             .when(at < 0, state["position"]).alias("missing"),
         )
 
-    return F.aggregate(
-        parts, start, step, lambda s: F.struct(s["offsets"], s["missing"]))
+    def walk(whole: Column) -> Column:
+        return F.aggregate(
+            F.transform(parts, normalise_whitespace), start,
+            lambda state, needle: bind(
+                F.position(needle, whole, state["cursor"] + 1) - 1,
+                lambda at: advance(state, needle, at)),
+            lambda state: F.struct(state["offsets"], state["missing"]))
 
+    return bind(text, walk)
 
-ANCHOR_TYPE = "array<struct<id:int,start:int,end:int,start_problem:string,end_problem:string>>"
 
-
-def _anchor_problem(text: Column, needle: Column) -> Column:
-    return (
-        F.when(needle == "", F.lit("empty"))
-        .when(F.position(needle, text) > 0, F.lit("earlier"))
-        .otherwise(F.lit("absent"))
-    )
+ANCHOR_TYPE = "array<struct<id:int,start:int,end:int,start_problem:string,end_problem:string>>"
 
 
 def resolve_anchors(text: Column, clauses: Column) -> Column:
@@ -207,31 +209,49 @@ def resolve_anchors(text: Column, clauses: Column) -> Column:
     """
     start = F.struct(
         F.lit(0).alias("cursor"), F.array().cast(ANCHOR_TYPE).alias("spans"))
+    quotes = F.transform(clauses, lambda c: F.struct(
+        c["id"].cast("int").alias("id"),
+        normalise_whitespace(F.coalesce(c["anchor_start"], F.lit(""))).alias("head"),
+        normalise_whitespace(F.coalesce(c["anchor_end"], F.lit(""))).alias("tail")))
 
-    def step(state: Column, clause: Column) -> Column:
-        head = normalise_whitespace(F.coalesce(clause["anchor_start"], F.lit("")))
-        tail = normalise_whitespace(F.coalesce(clause["anchor_end"], F.lit("")))
-        head_at = F.when(head != "", F.position(head, text, state["cursor"] + 1) - 1).otherwise(-1)
-        head_ok = head_at >= 0
-        tail_at = F.when(
-            head_ok & (tail != ""), F.position(tail, text, head_at + 1) - 1).otherwise(-1)
-        tail_ok = tail_at >= 0
+    def problem(whole: Column, needle: Column) -> Column:
+        return (
+            F.when(needle == "", F.lit("empty"))
+            .when(F.position(needle, whole) > 0, F.lit("earlier"))
+            .otherwise(F.lit("absent")))
+
+    def advance(whole: Column, state: Column, quote: Column, at: Column) -> Column:
+        head, tail = quote["head"], quote["tail"]
+        head_ok = at["head"] >= 0
+        tail_ok = at["tail"] >= 0
         span = F.struct(
-            clause["id"].cast("int").alias("id"),
-            F.when(head_ok, head_at).alias("start"),
-            F.when(tail_ok, tail_at + F.length(tail)).alias("end"),
-            F.when(~head_ok, _anchor_problem(text, head)).alias("start_problem"),
-            F.when(head_ok & (tail != "") & ~tail_ok, _anchor_problem(text, tail))
-            .alias("end_problem"),
+            quote["id"].alias("id"),
+            F.when(head_ok, at["head"]).alias("start"),
+            F.when(tail_ok, at["tail"] + F.length(tail)).alias("end"),
+            F.when(~head_ok, problem(whole, head)).alias("start_problem"),
+            F.when(head_ok & (tail != "") & ~tail_ok, problem(whole, tail)).alias("end_problem"),
         )
         return F.struct(
-            F.when(tail_ok, tail_at + F.length(tail))
-            .when(head_ok, F.greatest(state["cursor"], head_at + F.length(head)))
+            F.when(tail_ok, at["tail"] + F.length(tail))
+            .when(head_ok, F.greatest(state["cursor"], at["head"] + F.length(head)))
             .otherwise(state["cursor"]).alias("cursor"),
             F.concat(state["spans"], F.array(span).cast(ANCHOR_TYPE)).alias("spans"),
         )
 
-    return F.aggregate(clauses, start, step, lambda state: state["spans"])
+    def search(whole: Column, state: Column, quote: Column) -> Column:
+        head_at = F.when(
+            quote["head"] != "", F.position(quote["head"], whole, state["cursor"] + 1) - 1
+        ).otherwise(-1)
+        return bind(head_at, lambda h: bind(
+            F.struct(
+                h.alias("head"),
+                F.when((h >= 0) & (quote["tail"] != ""),
+                       F.position(quote["tail"], whole, h + 1) - 1).otherwise(-1).alias("tail")),
+            lambda at: advance(whole, state, quote, at)))
+
+    return bind(text, lambda whole: F.aggregate(
+        quotes, start, lambda state, quote: search(whole, state, quote),
+        lambda state: state["spans"]))
 
 
 def clean_page_artifacts(col: Column) -> Column:
@@ -311,8 +331,7 @@ def _shingles(col: Column, k: int, make, empty: str) -> Column:
             .otherwise(F.array().cast(empty))
         )
 
-    # one-element transform binds the token array once
-    return F.transform(F.array(tokens), windows)[0]
+    return bind(tokens, windows)
 
 
 def word_shingles(col: Column, k: int = SHINGLE_WORDS) -> Column:

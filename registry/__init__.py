@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("relations",)
+MODULES = ("relations", "texts")
 
 
 def load():

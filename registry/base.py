@@ -174,7 +174,7 @@ NEEDS = {"hybrid": ["clauses"], "scored": ["hybrid"], "scores": ["scored"],
          "doc_clauses": ["doc_lines"]}
 
 
-def with_ctes(body: str, *names: str, **extra: str) -> str:
+def with_ctes(body: str, /, *names: str, **extra: str) -> str:
     """``body`` preceded by the named relations and whatever they need."""
     ordered: list[str] = []
 
