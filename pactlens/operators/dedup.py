@@ -159,26 +159,3 @@ def keep_first(
     worded = rows.filter(~is_blank(F.col(text)))
     gone = near_duplicates(rows, id_col, text, threshold).select(F.col("id").alias(id_col))
     return worded.join(gone, id_col, "left_anti")
-
-
-def similar_to(
-    rows: DataFrame, others: DataFrame, id_col: str = "id", other_id: str = "item_id",
-    text: str = "text", threshold: float = D.NEAR_DUPLICATE_JACCARD,
-) -> DataFrame:
-    """First row of ``others`` (lowest id) that each row is near-identical to."""
-    mine = shingle_sets(rows, id_col, text).withColumn("n", F.size("shingles"))
-    theirs = shingle_sets(others, other_id, text).select(
-        F.col("id").alias("other_id"), F.col("shingles").alias("other"),
-        F.size("shingles").alias("m"))
-    length = lambda n: F.col(n) - F.ceil(F.col(n) * threshold - 1e-9).cast("int") + 1
-    probe = mine.select("id", "shingles", "n", F.explode(
-        F.slice("shingles", F.lit(1), length("n"))).alias("token"))
-    index = theirs.select("other_id", "other", "m", F.explode(
-        F.slice("other", F.lit(1), length("m"))).alias("token"))
-    pairs = probe.join(index, "token").filter(
-        F.least("n", "m") >= F.greatest("n", "m") * threshold - 1e-9)
-    return (
-        pairs.select("id", "other_id", _jaccard(F.col("shingles"), F.col("other")).alias("jaccard"))
-        .filter(F.col("jaccard") >= threshold)
-        .groupBy("id").agg(F.min_by(F.struct("other_id", "jaccard"), "other_id").alias("m"))
-        .select("id", "m.other_id", "m.jaccard"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("relations", "texts")
+MODULES = ("relations", "texts", "documents")
 
 
 def load():
