@@ -9,6 +9,7 @@ from pactlens import domain as D
 from pactlens.functions import text as T
 from pactlens.operators import evaluation as E
 from pactlens.plans.analyze import classify_clauses, finalize, score_clauses
+from pactlens.session import cut_lineage
 from pactlens.sources.annotations import resolve_spans
 
 
@@ -34,8 +35,10 @@ def evaluate_segmentation(
 ) -> tuple[DataFrame, DataFrame]:
     """(scores per document and micro, problems) of the segmenter against annotations."""
     spans, problems = resolve_spans(documents, annotations)
-    gold = spans.select("doc_id", F.col("position").alias("idx"), F.col("start").alias("offset"))
-    predicted = predicted_starts(documents)
+    # offsets are small and used several times; the text work runs once
+    gold = cut_lineage(spans.select(
+        "doc_id", F.col("position").alias("idx"), F.col("start").alias("offset")))
+    predicted = cut_lineage(predicted_starts(documents))
     matches = E.match_boundaries(predicted, gold, tolerance)
     return E.boundary_scores(predicted, gold, matches), problems
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("relations", "texts", "documents")
+MODULES = ("relations", "texts", "documents", "streams")
 
 
 def load():

@@ -357,7 +357,7 @@ _GOLD_SQL = (
 
 
 def _boundaries(t: Tables):
-    predicted = V.predicted_starts(t.contract_texts())
+    predicted = cut_lineage(V.predicted_starts(t.contract_texts()))
     copies = predicted.filter("idx % 6 > 0").select(
         "doc_id", "idx", "offset", F.explode(F.when(F.col("idx") % 4 == 1, F.array(F.lit(0), F.lit(1)))
                                              .otherwise(F.array(F.lit(0)))).alias("k"))
@@ -365,7 +365,7 @@ def _boundaries(t: Tables):
     gold = copies.select(
         "doc_id", (F.col("idx") * 2 + F.col("k")).alias("idx"),
         F.greatest(F.col("offset") + shift, F.lit(0)).cast("int").alias("offset"))
-    return predicted, gold
+    return predicted, cut_lineage(gold)
 
 
 _CANDIDATE_SQL = (
@@ -485,7 +485,8 @@ def j10(t: Tables):
 
 
 @query("d1_keep_first", _SHINGLE_SQL
-       + "SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT id FROM gone) AND trim(text, ' ' || chr(10)) <> ''")
+       + "SELECT d.doc_id, d.n_chars FROM documents d LEFT JOIN link l ON l.id = d.doc_id WHERE l.id IS NULL AND "
+         "trim(d.text, ' ' || chr(10)) <> ''")
 def d1(t: Tables):
     return dedup.keep_first(t.documents, "doc_id").select("doc_id", "n_chars")
 
