@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("relations", "texts", "documents", "streams")
+MODULES = ("relations", "texts", "documents", "streams", "models")
 
 
 def load():

@@ -116,9 +116,9 @@ def t5(t: Tables):
     return R.recover_stale(runs, now, "10 DAYS").select("run_id", "status", "error_message")
 
 
-@query("t5_stale_run_alerts", """SELECT user_id AS run_id, min(epoch_ms(ts)) AS started_ms FROM events WHERE user_id NOT IN
+@query("t5_stale_run_alerts", """SELECT user_id AS run_id, min(epoch_us(ts)) // 1000 AS started_ms FROM events WHERE user_id NOT IN
     (SELECT user_id FROM events WHERE event_type IN ('purchase', 'view') AND event_id % 40 = 0) AND user_id % 3 = 0 GROUP BY 1
-    HAVING min(epoch_ms(ts)) + 864000000 < (SELECT epoch_ms(max(ts)) - 600000 FROM events WHERE user_id % 3 = 0)""")
+    HAVING min(epoch_us(ts)) // 1000 + 864000000 < (SELECT epoch_us(max(ts)) // 1000 - 600000 FROM events WHERE user_id % 3 = 0)""")
 def t5_stream(t: Tables):
     """Runs that never report completion within ten days of their first event."""
     done = F.col("event_type").isin("purchase", "view") & (F.col("event_id") % 40 == 0)
