@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pactlens import domain as D
-from pactlens.functions.text import WS, strip
+from pactlens.functions.text import WS, bind, strip
 
 
 def lookup(mapping: dict, key: Column, default) -> Column:
@@ -33,14 +33,11 @@ def classify_keywords(text: Column) -> Column:
 
     def answer(lowered: Column) -> Column:
         rule = keyword_rule(lowered)
-        return F.transform(
-            F.array(rule),
-            lambda i: F.struct(
-                F.coalesce(F.get(types, i), F.lit(D.KEYWORD_DEFAULT[0])).alias("clause_type"),
-                F.coalesce(F.get(confidences, i), F.lit(D.KEYWORD_DEFAULT[1]))
-                .alias("confidence")))[0]
+        return bind(rule, lambda i: F.struct(
+            F.coalesce(F.get(types, i), F.lit(D.KEYWORD_DEFAULT[0])).alias("clause_type"),
+            F.coalesce(F.get(confidences, i), F.lit(D.KEYWORD_DEFAULT[1])).alias("confidence")))
 
-    return F.transform(F.array(F.lower(text)), answer)[0]
+    return bind(F.lower(text), answer)
 
 
 def served_type(clause_type: Column, confidence: Column) -> Column:
@@ -55,7 +52,8 @@ def map_provision(label: Column) -> Column:
 def question_category(question: Column, categories) -> Column:
     """First category, longest name first, that the question contains."""
     ordered = sorted(categories, key=len, reverse=True)
-    return F.coalesce(*[F.when(question.contains(name), F.lit(name)) for name in ordered])
+    return bind(question, lambda q: F.coalesce(*[
+        F.when(q.contains(name), F.lit(name)) for name in ordered]))
 
 
 def unit_interval(col: Column) -> Column:

@@ -52,6 +52,11 @@ BOILERPLATE_WORDS = (
 )
 
 
+def bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body``, inside lambdas too."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(col: Column) -> Column:
     """Remove leading and trailing whitespace of any kind."""
     return F.btrim(col, F.lit(WHITESPACE))
@@ -134,13 +139,20 @@ def fold_fragments(parts: Column) -> Column:
 
 def segment_text(col: Column, layout_segments: Column | None = None) -> Column:
     """Clause texts of a document: blank lines, else layout, else headings, else whole."""
-    blank = split_blank_lines(col)
-    headings = split_headings(col)
-    chosen = F.when(F.size(blank) > 1, fold_fragments(blank))
-    if layout_segments is not None:
-        chosen = chosen.when(
-            F.coalesce(F.size(layout_segments), F.lit(0)) > 1, fold_fragments(layout_segments))
-    return chosen.when(F.size(headings) > 1, fold_fragments(headings)).otherwise(blank)
+    def by_headings(text: Column, blank: Column) -> Column:
+        return bind(split_headings(text), lambda headings: F.when(
+            F.size(headings) > 1, fold_fragments(headings)).otherwise(blank))
+
+    def choose(text: Column, blank: Column) -> Column:
+        chosen = F.when(F.size(blank) > 1, fold_fragments(blank))
+        if layout_segments is not None:
+            chosen = chosen.when(
+                F.coalesce(F.size(layout_segments), F.lit(0)) > 1, fold_fragments(layout_segments))
+        return chosen.otherwise(by_headings(text, blank))
+
+    # the text and its paragraphs are each computed once
+    return bind(col, lambda text: bind(
+        split_blank_lines(text), lambda blank: choose(text, blank)))
 
 
 def non_whitespace_length(col: Column) -> Column:
@@ -155,11 +167,6 @@ def coverage_ratio(col: Column, parts: Column) -> Column:
     return F.when(source == 0, F.lit(1.0)).otherwise(kept / source)
 
 
-def bind(value: Column, body) -> Column:
-    """Evaluate ``value`` once and pass it to ``body``, inside lambdas too."""
-    return F.transform(F.array(value), body)[0]
-
-
 def locate_parts(text: Column, parts: Column) -> Column:
     """Offsets (0-based) of ordered parts in ``text``, searched with a moving cursor.
 

@@ -6,10 +6,11 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactlens.functions import language, scoring
+from pactlens.functions.text import bind
 from pactlens.operators import contracts as C
 from pactlens.sources.pages import clauses_of
 
@@ -70,20 +71,25 @@ def score_clauses(
 
 def finalize(answers: DataFrame) -> DataFrame:
     """Parse answers, filter prescriptive language and blend the hybrid level."""
+    def cleaned(items: Column) -> Column:
+        return F.struct(
+            F.transform(items, lambda f: f["text"]).alias("factors"),
+            F.aggregate(items, F.lit(0), lambda n, f: n + f["rewrites"]).alias("rewrites"))
+
+    factors = bind(F.transform(
+        scoring.parse_factors(F.col("factors_raw")), lambda f: language.sanitize(f)), cleaned)
     parsed = answers.withColumns({
         "model_score": scoring.parse_score(F.col("score_raw")),
         "_summary": language.sanitize(scoring.strip(F.col("summary"))),
-        "_factors": F.transform(
-            scoring.parse_factors(F.col("factors_raw")), lambda f: language.sanitize(f)),
+        "_factors": factors,
     })
-    cleaned = parsed.withColumns({
+    finished = parsed.withColumns({
         "summary": F.col("_summary.text"),
-        "risk_factors": F.transform("_factors", lambda f: f["text"]),
-        "rewrites": F.col("_summary.rewrites") + F.aggregate(
-            "_factors", F.lit(0), lambda n, f: n + f["rewrites"]),
-        "n_factors": F.size("_factors"),
+        "risk_factors": F.col("_factors.factors"),
+        "rewrites": F.col("_summary.rewrites") + F.col("_factors.rewrites"),
+        "n_factors": F.size("_factors.factors"),
     }).drop("_summary", "_factors", "factors_raw", "score_raw")
-    return C.with_hybrid(cleaned)
+    return C.with_hybrid(finished)
 
 
 def analyze_documents(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactlens import domain as D
@@ -13,21 +13,24 @@ from pactlens.session import cut_lineage
 from pactlens.sources.annotations import resolve_spans
 
 
+def _located(text: Column) -> Column:
+    return T.bind(text, lambda raw: T.locate_parts(
+        T.normalise_whitespace(raw), T.segment_text(raw)))
+
+
 def predicted_starts(documents: DataFrame) -> DataFrame:
     """Clause starts of each document's own segmentation: (doc_id, idx, offset)."""
-    text = T.normalise_whitespace(F.col("text"))
-    located = documents.select(
-        "doc_id", T.locate_parts(text, T.segment_text(F.col("text"))).alias("found"))
-    return located.filter("found.missing IS NULL").select(
-        "doc_id", F.posexplode("found.offsets").alias("idx", "offset"))
+    # a NULL array explodes to nothing; a filter would run the search a second time
+    offsets = T.bind(_located(F.col("text")), lambda found: F.when(
+        found["missing"].isNull(), found["offsets"]))
+    return documents.select("doc_id", F.posexplode(offsets).alias("idx", "offset"))
 
 
 def unlocated_documents(documents: DataFrame) -> DataFrame:
     """Documents whose segments are no substrings of their text; never silently skipped."""
-    text = T.normalise_whitespace(F.col("text"))
     return documents.select(
-        "doc_id", T.locate_parts(text, T.segment_text(F.col("text")))["missing"]
-        .alias("segment")).filter("segment IS NOT NULL")
+        "doc_id", F.explode(F.array_compact(F.array(_located(F.col("text"))["missing"])))
+        .alias("segment"))
 
 
 def evaluate_segmentation(

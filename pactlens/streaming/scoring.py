@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pactlens.functions import scoring
 from pactlens.plans import analyze
+from pactlens.session import spread
 from pactlens.sources.pages import clauses_of
 from pactlens.sources.stores import last_write, with_cache_flag
 
@@ -42,7 +43,7 @@ def score_batch(
 ) -> None:
     """Score the clauses of one micro-batch whose content hash is not stored yet."""
     spark = batch.sparkSession
-    hashed = clauses_of(batch).withColumn(
+    hashed = clauses_of(spread(batch)).withColumn(
         "content_hash", scoring.content_hash(F.col("raw_text"), fingerprint))
     earlier = spark.read.schema(STORE_SCHEMA).parquet(folder).filter(
         (F.col("batch") < batch_id) & F.col("error").isNull())

@@ -166,12 +166,9 @@ def f8(t: Tables):
 
 
 def segment_starts(t: Tables):
-    text = T.normalise_whitespace(F.col("text"))
-    located = t.contract_texts().select(
-        "doc_id", T.locate_parts(text, T.segment_text(F.col("text"))).alias("found"))
-    return located.filter("found.missing IS NULL").select(
-        "doc_id", F.posexplode("found.offsets").alias("pos", "start")).select(
-        "doc_id", (F.col("pos") + 1).alias("clause_index"), "start")
+    from pactlens.plans.evaluate import predicted_starts
+    return predicted_starts(t.contract_texts()).select(
+        "doc_id", (F.col("idx") + 1).alias("clause_index"), F.col("offset").alias("start"))
 
 
 KEYWORD_SQL = "(CASE " + " ".join(
