@@ -134,3 +134,9 @@ def latest_per_user(views: DataFrame, keep: int = 100) -> DataFrame:
     newest = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
     return views.withColumn("recency", F.row_number().over(newest)).filter(
         F.col("recency") <= keep)
+
+
+def latest_tuning_run(runs: DataFrame) -> DataFrame:
+    """The newest full record with its trials (an empty list when it has none)."""
+    newest = runs.orderBy(F.col("started_at").desc(), F.col("run_id").desc()).limit(1)
+    return newest.withColumn("trials", F.coalesce("trials", F.array().cast(runs.schema["trials"].dataType)))

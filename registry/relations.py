@@ -721,3 +721,23 @@ def f29(t: Tables):
 def f30(t: Tables):
     scored = t.scored()
     return C.executive_summary(C.risk_distribution(scored, "contract_id"), scored)
+
+
+# tuning runs: one per user, with the user's events as trials
+@query("a17_tuning_history", """SELECT run_id, started_at, coalesce(attached, best) AS best_score, coalesce(n_kept, n)::INTEGER AS trial_count FROM (
+    SELECT 'r' || user_id AS run_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started_at, CASE WHEN user_id % 3 = 2 THEN max(event_id) / 10.0 END
+    AS attached, max(value) FILTER (event_type <> 'error') AS best, CASE WHEN user_id % 2 = 1 THEN user_id END AS n_kept, count(*) AS n FROM events
+    GROUP BY user_id) ORDER BY started_at DESC, run_id DESC LIMIT 10""")
+def a17(t: Tables):
+    """Last ten tuning runs; missing or NaN attached scores fall back to the best trial."""
+    user = F.col("user_id")
+    score = F.when(F.col("event_type") == "error", F.lit(float("nan"))).otherwise(F.col("value"))
+    histories = t.events.groupBy("user_id").agg(
+        F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss").alias("started_at"),
+        F.max("event_id").alias("last"),
+        F.collect_list(F.struct(F.col("event_id").alias("index"), score.alias("score"))).alias("trials"))
+    records = histories.select(
+        F.concat(F.lit("r"), user.cast("string")).alias("run_id"), "started_at",
+        F.when(user % 3 == 2, F.col("last") / 10).when(user % 3 == 1, F.lit(float("nan"))).alias("best_score"),
+        F.when(user % 2 == 1, user.cast("int")).alias("trial_count"), "trials")
+    return R.tuning_history(records, 10)
