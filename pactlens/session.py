@@ -31,13 +31,13 @@ def build_session(app_name: str = "pactlens", master: str | None = None, **conf)
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a temporary one only where none is set."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or None
-    if configured is None:
-        current = spark.sparkContext.getCheckpointDir()
-        if current:
-            return current
-        configured = tempfile.mkdtemp(prefix="pactlens-")
-    spark.sparkContext.setCheckpointDir(configured)
-    return configured
+    current = spark.sparkContext.getCheckpointDir()
+    if configured is None and current:
+        return current
+    folder = configured or tempfile.mkdtemp(prefix="pactlens-")
+    if current is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

@@ -13,9 +13,9 @@ from pactlens.functions import text as T
 ANCHOR_START_CHARS = 40
 ANCHOR_END_CHARS = 30
 DRAFT_NOTE = (
-    "DRAFT generated by eval/annotate.py from the current segmentation — it agrees with the "
-    "segmenter by construction. Merge/split clauses, correct clause_type, and set high_risk "
-    "before using it as ground truth.")
+    "DRAFT generated from the current segmentation — it agrees with the segmenter by "
+    "construction. Merge/split clauses, correct clause_type, and set high_risk before using it "
+    "as ground truth.")
 
 
 def read_annotation_files(spark: SparkSession, path: str) -> DataFrame:

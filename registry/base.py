@@ -196,6 +196,7 @@ def query(name: str, sql: str | None = None):
     """Register a query function of ``Tables`` with its reference SQL."""
     def wrap(build: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
             return build(Tables(spark, folder))
 
         run.__doc__ = build.__doc__

@@ -7,7 +7,7 @@ from pactlens.operators import evaluation as E
 from pactlens.operators import runs as R
 from pactlens.operators import selection as X
 from registry.base import (
-    C, D, F, LEVEL_SQL, Tables, query, quoted, sql_case, sql_list, with_ctes)
+    C, D, F, LEVEL_SQL, Tables, Window, query, quoted, sql_case, sql_list, with_ctes)
 
 # ---- projections and filters ----------------------------------------------------
 
@@ -405,10 +405,9 @@ def _positions(ordered):
     placed = cut_lineage(ordered.select("*", F.spark_partition_id().alias("_part"),
                                         F.monotonically_increasing_id().alias("_at")))
     sizes = placed.groupBy("_part").agg(F.count("*").alias("n"), F.min("_at").alias("_first"))
-    before = sizes.alias("a").join(
-        sizes.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy(
-        F.col("a._part").alias("_part"), F.col("a._first").alias("_first")).agg(
-        F.coalesce(F.sum("b.n"), F.lit(0)).alias("_before"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(  # one row per partition
+        "_part", "_first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
     return placed.join(F.broadcast(before), "_part").select(
         *[c for c in ordered.columns],
         (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("position"))
@@ -535,7 +534,6 @@ def l2(t: Tables):
     + ") v(pain_point, required_type, severity)"))
 def l3(t: Tables):
     """Findings of each contract by severity, then pain point (five at most)."""
-    from pyspark.sql import Window
     order = Window.partitionBy("contract_id").orderBy("severity", "pain_point")
     findings = C.missing_protections(t.clauses(), "contract_id")
     ranked = findings.withColumn("position", F.row_number().over(order))
