@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactlens import domain as D
 from pactlens.functions import text as T
 from pactlens.operators import evaluation as E
-from pactlens.plans.analyze import classify_clauses, finalize, score_clauses
+from pactlens.plans.analyze import Scorer, classify_clauses, finalize, score_clauses
 from pactlens.session import cut_lineage
 from pactlens.sources.annotations import resolve_spans
 
 
+Transform = Callable[[DataFrame], DataFrame]
+
+
 def _located(text: Column) -> Column:
     return T.bind(text, lambda raw: T.locate_parts(
         T.normalise_whitespace(raw), T.segment_text(raw)))
@@ -46,7 +51,19 @@ def evaluate_segmentation(
     return E.boundary_scores(predicted, gold, matches), problems
 
 
-def evaluate_risk(labeled: DataFrame) -> DataFrame:
+def evaluate_types(spans: DataFrame, classify: Transform = classify_clauses) -> DataFrame:
+    """Accuracy of a classifier on (raw_text, gold_type) spans; unlabeled ones are left out.
+
+    ``classify`` is any DataFrame -> DataFrame step that adds ``clause_type``.
+    """
+    typed = classify(spans.filter(F.col("gold_type").isNotNull()))
+    return E.type_accuracy(typed.withColumnRenamed("clause_type", "predicted_type"))
+
+
+def evaluate_risk(
+    labeled: DataFrame, classify: Transform = classify_clauses, scorer: Scorer | None = None
+) -> DataFrame:
     """(source, raw_text, gold_high) -> rows with the production verdict next to the label."""
-    scored = finalize(score_clauses(classify_clauses(E.labeled(labeled, text="raw_text"))))
+    typed = classify(E.labeled(labeled, text="raw_text"))
+    scored = finalize(score_clauses(typed, scorer))
     return scored.withColumn("predicted_high", F.col("risk_level") == "high")

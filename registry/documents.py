@@ -440,7 +440,7 @@ def a15(t: Tables):
     names = F.array(*[F.lit(n) for n in D.CLAUSE_TYPES])
     key = F.col("doc_id") + F.col("clause_index")
     gold = F.when(key % 5 > 0, F.element_at(names, (key % 8 + 1).cast("int")))
-    return E.type_accuracy(typed_clauses(t).select(gold.alias("gold_type"), F.col("clause_type").alias("predicted_type")))
+    return V.evaluate_types(t.doc_clauses().select("raw_text", gold.alias("gold_type")))
 
 
 @query("a18_scorecard", with_ctes(
@@ -499,3 +499,17 @@ def w7(t: Tables):
     worded = t.documents.filter(~T.is_blank(F.col("text"))).select("doc_id")
     return worded.join(links, "doc_id", "left").select(
         "doc_id", F.coalesce("keeper_id", "doc_id").alias("family_id"), F.col("keeper_id").isNull().alias("is_kept"))
+
+
+@query("x2_injected_classifier", with_ctes(
+    "SELECT source, count(*) AS n, count(*) FILTER (gold_high AND hit) AS tp, count(*) FILTER (NOT gold_high AND hit) AS fp FROM (SELECT d.lang AS source, "
+    f"l.toxic = 1 AS gold_high, {LEVEL_SQL} = 'high' AS hit FROM (SELECT *, {HYBRID_SQL} AS hybrid_score FROM (SELECT doc_id, 'liability' AS clause_type, "
+    "0.9::DOUBLE AS conf, 2 AS n_factors, round(greatest(0.02::DOUBLE, least(0.98::DOUBLE, 0.75::DOUBLE + (('0x' || substr(sha256(text), 1, 2))::INTEGER / "
+    "255.0::DOUBLE - 0.5::DOUBLE) * 0.30::DOUBLE)), 2) AS model_score FROM documents)) h JOIN labels l USING (doc_id) JOIN documents d USING (doc_id)) GROUP BY 1"))
+def x2(t: Tables):
+    """Risk evaluation with a classifier passed in: here everything is a liability clause."""
+    rows = t.documents.join(t.labels, "doc_id").select(
+        F.col("lang").alias("source"), F.col("text").alias("raw_text"), (F.col("toxic") == 1).alias("gold_high"))
+    classify = lambda df: df.withColumns({"clause_type": F.lit("liability"), "conf": F.lit(0.9)})
+    verdicts = V.evaluate_risk(rows, classify)
+    return E.binary_metrics(verdicts, "source").select("source", "n", "tp", "fp")
