@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,11 +30,17 @@ def build_session(app_name: str = "pactlens", master: str | None = None, **conf)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set."""
+    """The folder in ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where none is set, a temporary folder serves a session in one process;
+    on a cluster the setting is required, as executors don't share local disks.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None) or None
     current = spark.sparkContext.getCheckpointDir()
     if configured is None and current:
         return current
+    if configured is None and not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     folder = configured or tempfile.mkdtemp(prefix="pactlens-")
     if current is None:
         spark.sparkContext.setCheckpointDir(folder)
