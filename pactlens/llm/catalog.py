@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pactlens.llm import personal_data, secrets, vector_search
+from pactlens.llm import line_spread, mixing, packing, personal_data, secrets, vector_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,23 @@ TOP_SQL = """WITH v AS (
     SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
   SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
 
+LINES_SQL = """WITH l AS (
+    SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
+      generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+  b AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS bare FROM l),
+  c AS (
+    SELECT bare, min(doc_id) AS keeper FROM b WHERE length(bare) >= 24 GROUP BY bare
+    HAVING count(DISTINCT coalesce(source, '')) >= 4),
+  m AS (SELECT b.*, coalesce(b.doc_id <> c.keeper, false) AS gone FROM b LEFT JOIN c USING (bare)),
+  d AS (
+    SELECT doc_id, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(*) FILTER (gone) AS INTEGER) AS n_removed,
+      string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS cleaned FROM m GROUP BY doc_id)
+  SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+    sha256(coalesce(cleaned, '')) AS cleaned_sha256 FROM documents LEFT JOIN d USING (doc_id)"""
+
+query("op4_mix_sources", mixing.op4_mix_sources)
 query("op6_personal_data", personal_data.op6_personal_data)
 query("op7_vector_search", vector_search.op7_vector_search, "embeddings", TOP_SQL)
 query("op8_secrets", secrets.op8_secrets)
+query("op9_packing", packing.op9_packing)
+query("op10_line_spread", line_spread.op10_line_spread, sql=LINES_SQL)
