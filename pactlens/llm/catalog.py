@@ -6,17 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pactlens.llm import line_spread, mixing, packing, personal_data, secrets, vector_search
+from pactlens.llm import language_id, line_spread, mixing, packing, personal_data, quality, secrets, vector_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, build: Callable[[DataFrame], DataFrame], table: str = "documents", sql: str | None = None) -> None:
-    """Register an operator over one whole table."""
+def query(name: str, build: Callable[..., DataFrame], *tables: str, sql: str | None = None) -> None:
+    """Register an operator over whole tables, ``documents`` where none is named."""
     def run(spark: SparkSession, folder: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-        return build(spark.read.parquet(f"{folder}/{table}.parquet"))
+        return build(*[spark.read.parquet(f"{folder}/{t}.parquet") for t in tables or ("documents",)])
 
     run.__doc__ = build.__doc__
     QUERIES[name] = run
@@ -50,9 +50,11 @@ LINES_SQL = """WITH l AS (
   SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
     sha256(coalesce(cleaned, '')) AS cleaned_sha256 FROM documents LEFT JOIN d USING (doc_id)"""
 
+query("op1_language_id", language_id.op1_language_id)
 query("op4_mix_sources", mixing.op4_mix_sources)
+query("op5_quality", quality.op5_quality, "documents", "labels")
 query("op6_personal_data", personal_data.op6_personal_data)
-query("op7_vector_search", vector_search.op7_vector_search, "embeddings", TOP_SQL)
+query("op7_vector_search", vector_search.op7_vector_search, "embeddings", sql=TOP_SQL)
 query("op8_secrets", secrets.op8_secrets)
 query("op9_packing", packing.op9_packing)
 query("op10_line_spread", line_spread.op10_line_spread, sql=LINES_SQL)
