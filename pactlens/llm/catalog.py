@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pactlens.llm import fingerprints, language_id, line_spread, mixing, packing, personal_data, quality, secrets, vector_search
+from pactlens.llm import fingerprints, language_id, line_spread, mixing, near_duplicates, packing, personal_data, quality, secrets, vector_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,6 +52,7 @@ LINES_SQL = """WITH l AS (
 
 query("op1_language_id", language_id.op1_language_id)
 query("op2_fingerprints", fingerprints.op2_fingerprints)
+query("op3_near_duplicates", near_duplicates.op3_near_duplicates)
 query("op4_mix_sources", mixing.op4_mix_sources)
 query("op5_quality", quality.op5_quality, "documents", "labels")
 query("op6_personal_data", personal_data.op6_personal_data)
