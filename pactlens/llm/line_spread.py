@@ -48,8 +48,8 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 
 def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source",
-                     min_sites: int = MIN_SITES) -> DataFrame:
-    """(doc_id, text, cleaned, n_lines, n_removed), one row for each row of ``docs``.
+                     min_sites: int = MIN_SITES, keep: tuple = ()) -> DataFrame:
+    """(doc_id, text, cleaned, n_lines, n_removed), one row for each row of ``docs``; ``keep`` names columns to carry along.
 
     Boilerplate lines go from every document but the one with the smallest id
     that has them, so no line leaves the corpus. Documents are matched by id
@@ -58,7 +58,7 @@ def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(site_col).cast("string").alias("site"),
-                       F.xxhash64(F.col(text_col)).alias("text_key"))
+                       F.xxhash64(F.col(text_col)).alias("text_key"), F.struct(F.lit(0), *keep).alias("kept"))
     keys = F.array_distinct(F.filter(F.transform(lines_of(F.col("text")), line_key), lambda k: k.isNotNull()))
     lines = rows.filter("text IS NOT NULL").select("doc_id", "text_key", "site", F.explode(keys).alias("key"))
     common = boilerplate(lines, min_sites)
@@ -68,7 +68,8 @@ def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return known.select(
         "doc_id", "text", cleaned(F.col("text"), F.col("gone")).alias("cleaned"),
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines_of(F.col("text")))).alias("n_lines"),
-        F.coalesce(F.size(F.filter(lines_of(F.col("text")), lambda x: removed(x, F.col("gone")))), F.lit(0)).alias("n_removed"))
+        F.coalesce(F.size(F.filter(lines_of(F.col("text")), lambda x: removed(x, F.col("gone")))), F.lit(0)).alias("n_removed"),
+        *[F.col("kept")[c].alias(c) for c in keep])
 
 
 def removed(line: Column, gone: Column) -> Column:

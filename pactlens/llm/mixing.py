@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SOURCE_BLOCKS = 1024  # blocks of a source; a source of any size has at most as many
-SHARDS = 64
 MAX_REPEATS = 3
+SEED = 17
 CYCLE = (5.0, 2.0, 1.0)  # weights of the sources in code-point order, repeating
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -81,11 +81,12 @@ class Plan:
     copies: list  # (source, block, copy, words wanted of the block or None for all, shard)
 
 
-def permuted(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    """(doc_id, text, source, size, place, block): the row's place in its source's permutation and its block."""
+def permuted(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, keep: tuple = ()) -> DataFrame:
+    """(doc_id, text, source, size, place, block, kept): the row's place in its source's permutation and its block."""
     place = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"),
-                       word_count(F.col(text_col)).alias("size"), place.alias("place"))
+                       word_count(F.col(text_col)).alias("size"), place.alias("place"),
+                       F.struct(F.lit(0), *keep).alias("kept"))
     # the upper bits of the place: blocks are runs of the permutation
     return rows.withColumn("block", F.shiftrightunsigned("place", 64 - SOURCE_BLOCKS.bit_length() + 1).cast("int"))
 
@@ -125,8 +126,10 @@ def plan_mix(rows: DataFrame, shards: int, seed: int, weights: dict | None = Non
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-                shards: int = SHARDS, seed: int = 17, weights: dict | None = None) -> tuple[DataFrame, Plan]:
-    """The mix and its plan. The mix has (doc_id, text, source, size, copy, words, shard, place).
+                shards: int | None = None, seed: int = SEED, weights: dict | None = None, keep: tuple = ()) -> tuple[DataFrame, Plan]:
+    """The mix and its plan. The mix has (doc_id, text, source, size, copy, words, shard, place) and the columns in ``keep``.
+
+    There are as many shards as shuffle partitions where no number is given.
 
     Each row is a copy of a document of which the mix takes the first ``words``
     words: all of them but in the last block of a source. Reruns agree, as the
@@ -134,8 +137,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sources are a source of their own, texts without words are never taken,
     other columns are left out, and an empty table gives an empty mix.
     """
-    rows = permuted(docs, id_col, text_col, source_col, seed)
-    plan = plan_mix(rows, shards, seed, weights)
+    rows = permuted(docs, id_col, text_col, source_col, seed, keep)
+    plan = plan_mix(rows, shards or partitions(docs), seed, weights)
     spark = docs.sparkSession
     kind = rows.schema["source"].dataType.simpleString()
     copies = spark.createDataFrame(plan.copies, f"c_source {kind}, c_block int, copy int, wanted long, shard int")
@@ -146,7 +149,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         Window.partitionBy("source").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cut = near.filter("wanted IS NOT NULL").withColumn(
         "words", F.greatest(F.lit(0), F.least("size", F.col("wanted") - before))).filter("words > 0")
-    columns = ("doc_id", "text", "source", "size", "copy", "words", "shard", "place")
+    columns = ("doc_id", "text", "source", "size", "copy", "words", "shard", "place", *[F.col("kept")[c].alias(c) for c in keep])
     return full.select(*columns).unionByName(cut.select(*columns)), plan
 
 
@@ -156,9 +159,13 @@ def first_words(text: Column, words: Column) -> Column:
     return F.array_join(F.slice(bare, 1, words.cast("int")), "")
 
 
-def shuffled(mix: DataFrame, shards: int = SHARDS) -> DataFrame:
+def partitions(docs: DataFrame) -> int:
+    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def shuffled(mix: DataFrame, shards: int | None = None) -> DataFrame:
     """The mix with one partition for each shard, in random but repeatable order inside it."""
-    return mix.repartitionById(shards, "shard").sortWithinPartitions(
+    return mix.repartitionById(shards or partitions(mix), "shard").sortWithinPartitions(
         F.xxhash64("shard", "place", "copy", "doc_id"))
 
 
@@ -167,9 +174,8 @@ def op4_mix_sources(docs: DataFrame) -> DataFrame:
 
     A document outside the mix has 0 words taken; its sizes are those of its source.
     """
-    seed = 17
-    rows = permuted(docs, "doc_id", "text", "source", seed)
-    plan = plan_mix(rows, SHARDS, seed)
+    rows = permuted(docs, "doc_id", "text", "source", SEED)
+    plan = plan_mix(rows, partitions(docs), SEED)
     spark = docs.sparkSession
     kind = rows.schema["source"].dataType.simpleString()
     sources = spark.createDataFrame(
@@ -180,7 +186,7 @@ def op4_mix_sources(docs: DataFrame) -> DataFrame:
         copies[source, block] = (whole + (wanted is None), part if wanted is None else wanted)
     taken = spark.createDataFrame([(*k, *v) for k, v in copies.items()], f"c_source {kind}, c_block int, whole int, wanted long")
     # one row for each source, and at most SOURCE_BLOCKS for each source
-    known = rows.drop("text").join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("c_source")), "left").drop("c_source")
+    known = rows.drop("text", "kept").join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("c_source")), "left").drop("c_source")
     known = known.join(F.broadcast(taken), F.col("source").eqNullSafe(F.col("c_source")) & (F.col("block") == F.col("c_block")), "left")
     before = F.coalesce(F.sum("size").over(
         Window.partitionBy("source").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

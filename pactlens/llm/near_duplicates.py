@@ -27,7 +27,7 @@ THRESHOLD = 0.8  # generalised Jaccard similarity of a link
 BANDS, ROWS = 40, 8  # a pair at the threshold meets in some band with probability 0.9993
 COORDINATES = BANDS * ROWS
 DARTS = int(COORDINATES * (np.log(COORDINATES) + 3))  # regions thrown at first; few texts need more
-GROUP = 1 << 19  # regions that are thrown at together
+GROUP = 1 << 18  # regions that are thrown at together
 
 # number of darts in a region: Poisson with mean 1, from 16 bits
 _POISSON = np.searchsorted(
@@ -119,7 +119,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, budget=1 << 19):
+            for part in slices(batch, budget=1 << 18):
                 node, bands, region, at = sketch(part.column("text"))
                 worded = np.diff(at) > 0
                 ends = np.concatenate([[0], np.cumsum(worded * BANDS)]).astype(np.int32)
@@ -232,6 +232,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key"))).alias("keeper"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay when one of each class does."""
+    found = near_duplicates(docs, id_col, text_col, threshold).filter("keeper").select(
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("text_key").alias("_text")).distinct()
+    keyed = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).withColumn("_text", F.xxhash64(F.col(text_col)))
+    return keyed.join(found, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"]).drop("_id", "_text")
+
+
 def op3_near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, class_size and n_links, one row per document."""
     return near_duplicates(docs).select("doc_id", "class_id", "class_size", "n_links")

@@ -196,15 +196,18 @@ def score_texts(docs: DataFrame, model: Model, columns: dict, text_col: str = "t
     gives an empty result; other columns are left out. Without usable labels
     every score is the same.
     """
-    kept = docs.select(*[c.alias(k) for k, c in columns.items()], F.col(text_col).alias("_text"))
+    names = [*columns, *([] if text_col in columns else ["_text"])]
+    kept = docs.select(*[c.alias(k) for k, c in columns.items()], *([] if text_col in columns else [F.col(text_col).alias("_text")]))
+    text_name = text_col if text_col in columns else "_text"
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = list(columns)
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "_text"):
-                score = scores(shared.value, statistics(*code_points(part.column("_text"))))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score)], [*names, "score"])
+            for part in slices(batch, text_name):
+                score = scores(shared.value, statistics(*code_points(part.column(text_name))))
+                out = dict(zip(names, part.columns, strict=True)) | {"score": pa.array(score)}
+                out.pop("_text", None)
+                yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.drop("_text").schema)
     return kept.mapInArrow(run, f"{schema}, score double")
