@@ -22,10 +22,8 @@ REWRITES = (
 FLAGGED = (r"\byou must (?:sign|reject|refuse|walk away)\b",)
 
 _FLAGS = "(?iU)"
-# A text without any of these can match no pattern above; one scan settles it.
-_SUSPECT = (
-    "(?iu)you should|recommend|we advise|advice is|you need to renegotiate|make sure|you must"
-)
+# A text that none of the patterns above matches needs no rule; one scan settles it.
+_SUSPECT = _FLAGS + "|".join(f"(?:{pattern})" for pattern in [*(p for p, _ in REWRITES), *FLAGGED])
 
 
 def _found(col: Column, pattern: str) -> Column:

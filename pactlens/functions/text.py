@@ -306,6 +306,12 @@ def legal_stop_words(base: list[str] | tuple[str, ...] = ()) -> list[str]:
     return sorted(words - set(PRESERVED_WORDS))
 
 
+def general_stop_words() -> list[str]:
+    """The list above on the English stop words that Spark ships; needs an active session."""
+    from pyspark.ml.feature import StopWordsRemover
+    return legal_stop_words(StopWordsRemover.loadDefaultStopWords("english"))
+
+
 def remove_stop_words(tokens: Column, words: list[str]) -> Column:
     return F.filter(tokens, lambda token: ~F.lower(token).isin(words))
 

@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 
 from pactlens import domain as D
 from pactlens.functions.text import is_blank, shingle_hashes
-from pactlens.session import cut_lineage, spread
+from pactlens.session import cut_lineage
 
 
 def shingle_sets(rows: DataFrame, id_col: str = "id", text: str = "text") -> DataFrame:
     """(id, shingles) with sorted 64-bit shingle hashes; rows without words are dropped."""
     worded = rows.select(id_col, text).filter(~is_blank(F.col(text)))
-    return spread(worded).select(
+    return worded.select(
         F.col(id_col).alias("id"), shingle_hashes(F.col(text)).alias("shingles"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactlens import domain as D
+from pactlens.functions.text import is_blank
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -37,7 +38,7 @@ def _confusion(truth: Column, predicted: Column) -> list[Column]:
 def labeled(rows: DataFrame, truth: str = "gold_high", text: str | None = None) -> DataFrame:
     """Rows that carry a label; unlabeled is not the same as negative."""
     kept = rows.filter(F.col(truth).isNotNull())
-    return kept.filter(F.trim(F.col(text)) != "") if text else kept
+    return kept.filter(~is_blank(F.col(text))) if text else kept
 
 
 def binary_metrics(

@@ -68,13 +68,13 @@ def latest_run(runs: DataFrame, key: str = "contract_id") -> DataFrame:
 
 
 def recover_stale(runs: DataFrame, now, timeout: str) -> DataFrame:
-    """Active runs older than ``timeout`` become failed, with the reason recorded."""
+    """Active runs older than ``timeout`` become failed, with the reason recorded; others stay as they are."""
     stale = (
         F.col("status").isin(*D.ACTIVE_STATUSES)
         & (F.col("started_at") < now - F.expr(f"INTERVAL {timeout}"))
     )
     return runs.withColumns({
-        "error_message": F.when(stale, F.lit(D.STALE_RUN_MESSAGE)),
+        "error_message": F.when(stale, F.lit(D.STALE_RUN_MESSAGE)).otherwise(F.col("error_message")),
         "completed_at": F.when(stale, now).otherwise(F.col("completed_at")),
         "status": F.when(stale, F.lit("failed")).otherwise(F.col("status")),
     })

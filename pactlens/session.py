@@ -10,7 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "pactlens", master: str | None = None, **conf) -> SparkSession:
-    """Session with adaptive execution, skew handling and UTC timestamps."""
+    """Session with adaptive execution, skew handling and UTC timestamps.
+
+    Row work follows the splits of the scan: lower
+    ``spark.sql.files.maxPartitionBytes`` where few large files would leave
+    cores idle, raise it where tables have very many small splits.
+    """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
@@ -55,13 +60,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and continue from there."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core for heavy row work when the input came as a few large files.
-
-    A no-op once the scan itself has at least as many partitions as the
-    cluster has cores, which is the case for any large table.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -43,11 +43,14 @@ def parse_annotations(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     clauses = _get(F.col("doc"), "$.clauses", "array<variant>")
     shaped = docs.select(
         "source", "doc", clauses.alias("clauses"),
-        _get(F.col("doc"), "$.missing_protections", "array<string>").alias("missing"))
+        _get(F.col("doc"), "$.missing_protections", "variant").alias("missing"))
     is_object = _kind(F.col("doc")).startswith("OBJECT")
-    bad_missing = F.exists(
-        F.coalesce("missing", F.array().cast("array<string>")),
-        lambda m: ~F.lower(T.strip(m)).isin(*D.PAIN_POINTS))
+    # absent and null mean an empty list; every entry must be a known name
+    bad_missing = ~_kind(F.col("missing")).isin("VOID") & (
+        ~_kind(F.col("missing")).startswith("ARRAY") | F.exists(
+            _get(F.col("missing"), "$", "array<variant>"),
+            lambda m: (_kind(m) != "STRING")
+            | ~F.coalesce(F.lower(T.strip(F.try_variant_get(m, "$", "string"))).isin(*D.PAIN_POINTS), F.lit(False))))
     file_problem = (
         F.when(F.col("doc").isNull(), "is not valid JSON")
         .when(~is_object, "the top level must be a JSON object")
@@ -59,11 +62,13 @@ def parse_annotations(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     items = shaped.select("source", F.posexplode("clauses").alias("pos", "item")).select(
         "source", (F.col("pos") + 1).alias("position"), "item")
     item = F.col("item")
+    id_raw = _get(item, "$.id", "variant")
     label_raw = _get(item, "$.clause_type", "variant")
     risk_raw = _get(item, "$.high_risk", "variant")
     fields = items.select(
         "source", "position",
         F.coalesce(_get(item, "$.id", "int"), F.col("position")).alias("id"),
+        _kind(id_raw).alias("id_kind"), _get(item, "$.id", "int").alias("id_value"),
         T.strip(F.coalesce(_get(item, "$.anchor_start", "string"), F.lit("")))
         .alias("anchor_start"),
         F.coalesce(_get(item, "$.anchor_end", "string"), F.lit("")).alias("anchor_end"),
@@ -74,6 +79,8 @@ def parse_annotations(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         _kind(item).startswith("OBJECT").alias("is_object"))
     clause_problem = (
         F.when(~F.col("is_object"), "each clause must be a JSON object")
+        .when((F.col("id_kind") != "VOID") & (~F.col("id_kind").isin("BIGINT") | F.col("id_value").isNull()),
+              "id must be an integer")
         .when(F.col("anchor_start") == "", "anchor_start is required")
         .when(~F.col("label_kind").isin("STRING", "VOID"), "clause_type must be a string or null")
         .when(F.col("clause_type").isNotNull() & ~F.col("clause_type").isin(*D.CLAUSE_TYPES),

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pactlens import domain as D
 from pactlens.functions import text as T
 
 
@@ -26,13 +25,13 @@ def assemble_pages(pages: DataFrame) -> DataFrame:
 
 def fill_page_gaps(
     digital: DataFrame, fallback: DataFrame | None = None,
-    cap: int = D.FALLBACK_PAGE_CAP, enabled: bool = True,
+    cap: int | None = None, enabled: bool = True,
 ) -> DataFrame:
     """Fill blank digital pages from a second text source.
 
-    The second source is used only when a document has at most ``cap`` blank
-    pages; otherwise the reason is recorded. ``fallback=None`` means the
-    source is not available.
+    With ``cap``, the second source is used only when a document has at most
+    so many blank pages; otherwise the reason is recorded. ``fallback=None``
+    means the source is not available.
     """
     if fallback is None:
         paired = digital.withColumn("fallback_text", F.lit(None).cast("string"))
@@ -47,7 +46,9 @@ def fill_page_gaps(
     docs = paired.groupBy("doc_id").agg(F.sort_array(F.collect_list(page)).alias("pages"))
     empty = F.filter("pages", lambda p: p["text"].isNull())
     n_empty = F.size(empty)
-    usable = F.lit(enabled and fallback is not None) & (n_empty <= cap)
+    usable = F.lit(enabled and fallback is not None)
+    if cap is not None:
+        usable = usable & (n_empty <= cap)
     filled = F.filter(
         F.transform("pages", lambda p: F.struct(
             p["page_no"].alias("page_no"),
@@ -62,6 +63,8 @@ def fill_page_gaps(
         reason = F.lit("OCR is disabled on the server")
     elif fallback is None:
         reason = F.lit("tesseract is not installed on the server")
+    elif cap is None:
+        reason = F.lit(None).cast("string")
     else:
         reason = F.when(n_empty > cap, F.format_string(
             f"%d scanned pages exceed the {cap}-page OCR limit", n_empty))

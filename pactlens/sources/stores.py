@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +24,17 @@ def last_write(updates: DataFrame, keys, order: str) -> DataFrame:
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys=TABLE_KEYS, order: str | None = None) -> DataFrame:
-    """Insert or replace rows by key; the last write per key wins."""
-    fresh = last_write(updates, keys, order).select(target.columns) if order else updates
+    """Insert or replace rows by key; the last write per key by ``order`` wins.
+
+    Without ``order`` no write is the last one, so repeated keys fail the job.
+    """
+    if order:
+        fresh = last_write(updates, keys, order).select(target.columns)
+    else:
+        rest = [c for c in updates.columns if c not in keys]
+        single = F.when(F.col("n") == 1, F.col("row")).otherwise(F.raise_error(F.lit("repeated keys need an order")))
+        fresh = updates.groupBy(*keys).agg(F.count("*").alias("n"), F.first(F.struct(*rest)).alias("row")).withColumn(
+            "row", single).select(*keys, "row.*").select(target.columns)
     kept = target.join(fresh.select(*keys), list(keys), "left_anti")
     return kept.unionByName(fresh)
 
@@ -69,11 +79,10 @@ def split_cached(
 
 def with_cache_flag(clauses: DataFrame, stored: DataFrame, keys=TABLE_KEYS) -> DataFrame:
     """Both sides of :func:`split_cached` from one join, as a boolean column."""
-    known = stored.filter(F.col("content_hash").isNotNull()).select(
-        *keys, F.col("content_hash").alias("stored_hash")).distinct()
-    return clauses.join(known, list(keys), "left").withColumn(
-        "is_cached", F.coalesce(F.col("content_hash") == F.col("stored_hash"), F.lit(False))
-    ).drop("stored_hash")
+    on = [*keys, "content_hash"]
+    known = stored.filter(F.col("content_hash").isNotNull()).select(*on).distinct().withColumn("_hit", F.lit(True))
+    return clauses.join(known, on, "left").select(
+        *clauses.columns, F.coalesce("_hit", F.lit(False)).alias("is_cached"))
 
 
 ANSWER_SCHEMA = (
@@ -117,29 +126,32 @@ REPORT_SCHEMA = (
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
-    """The published risk report, or one ``measured=false`` row with the reason."""
+    """The published risk report, or one ``measured=false`` row with the reason.
+
+    A missing path is not measured; a damaged report and a folder with several
+    reports are errors of their own; any other failure to read is raised.
+    """
     targets = F.struct(
         F.lit(D.TARGET_PRECISION).alias("precision"), F.lit(D.TARGET_RECALL).alias("recall"))
-    empty = spark.range(1).select(F.lit(1).alias("_one"))
     try:
         stored = spark.read.schema(REPORT_SCHEMA).json(
             path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_damaged")
-        stored = stored.limit(1)
-        missing = None
-    except Exception as error:  # a missing path is "not measured", never a failure
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         stored = spark.createDataFrame([], REPORT_SCHEMA)
-        missing = type(error).__name__ if "PATH_NOT_FOUND" not in str(error) else None
-    row = empty.join(stored.withColumn("_one", F.lit(1)), "_one", "left")
-    ok = F.col("_damaged").isNull() & F.col("n").isNotNull()
+    # one row in any case; of several reports none is chosen
+    row = stored.agg(F.count("*").alias("_reports"), F.first(F.struct(*stored.columns)).alias("r")).select("_reports", "r.*")
+    ok = (F.col("_reports") == 1) & F.col("_damaged").isNull() & F.col("n").isNotNull()
     return row.select(
         ok.alias("measured"),
         F.when(ok, F.col("n")).alias("n"),
         F.when(ok, F.col("precision_high")).alias("precision_high"),
         F.when(ok, F.col("recall_high")).alias("recall_high"),
-        F.coalesce("targets", targets).alias("targets"),
+        F.when(ok, F.coalesce("targets", targets)).otherwise(targets).alias("targets"),
         F.when(~ok, F.lit(D.NOT_MEASURED_REASON)).alias("reason"),
-        F.when(F.col("_damaged").isNotNull(), F.lit("malformed report"))
-        .otherwise(F.lit(missing)).alias("error"))
+        F.when(F.col("_reports") > 1, F.lit("several reports"))
+        .when(F.col("_damaged").isNotNull(), F.lit("malformed report")).alias("error"))
 
 
 def report_gate(report: DataFrame, problems: DataFrame, provider: str) -> DataFrame:

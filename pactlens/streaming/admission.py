@@ -38,19 +38,19 @@ def admit(
 ) -> DataFrame:
     """Batch form: (bucket, client, event_id, ts_micros) plus ``admitted``.
 
-    An empty window-wide cell of a client clears its log, so a client's calls
-    fall into independent stretches. Those are found on one row per client
-    and cell, then each stretch is read in time order with only the admitted
-    log in memory.
+    A gap of more than a window clears a client's log, so its calls fall into
+    independent stretches. Those are found on the first and last call of each
+    window-wide cell, then each stretch is read in time order with only the
+    admitted log in memory.
     """
     window = window_seconds * MICROS
     key = ["bucket", "client"]
     celled = attempts.withColumn("cell", F.floor(F.col("ts_micros") / window))
     order = Window.partitionBy(*key).orderBy("cell")
-    gap = F.col("cell") - F.lag("cell").over(order) > 1
-    stretches = celled.select(*key, "cell").distinct().withColumn(
-        "opens", F.coalesce(gap, F.lit(True)).cast("int")).withColumn(
-        "stretch", F.sum("opens").over(order)).drop("opens")
+    gap = F.col("first") - F.lag("last").over(order) > window
+    cells = celled.groupBy(*key, "cell").agg(F.min("ts_micros").alias("first"), F.max("ts_micros").alias("last"))
+    stretches = cells.withColumn("opens", F.coalesce(gap, F.lit(True)).cast("int")).withColumn(
+        "stretch", F.sum("opens").over(order)).drop("opens", "first", "last")
     placed = celled.join(stretches, [*key, "cell"]).drop("cell")
     group = [*key, "stretch"]
     ready = placed.repartition(*group).sortWithinPartitions(*group, "ts_micros", "event_id")

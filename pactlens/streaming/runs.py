@@ -12,16 +12,31 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pactlens import domain as D
 from pactlens.sources.stores import last_write
+from pactlens.streaming import commits
 
 PAGE_CHARS = 256
 
 
-def run_progress(outcomes: DataFrame) -> DataFrame:
-    """(run_id, error) events -> finished and failed clauses per run, in update mode."""
-    return outcomes.groupBy("run_id").agg(
+PROGRESS_SCHEMA = "run_id long, since timestamp, done long, succeeded long, failed long"
+
+
+def run_progress(outcomes: DataFrame, delay: str = "1 hour", width: str = "1 day") -> DataFrame:
+    """(run_id, ts, error) events -> finished and failed clauses per run and window, in update mode.
+
+    The watermark evicts the counts of past windows, so state holds the runs
+    of the last ``width`` and ``delay``; ``total_progress`` adds the windows up.
+    """
+    return outcomes.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"), "run_id").agg(
         F.count("*").alias("done"),
         F.count_if(F.col("error").isNull()).alias("succeeded"),
-        F.count_if(F.col("error").isNotNull()).alias("failed"))
+        F.count_if(F.col("error").isNotNull()).alias("failed")).select(
+        "run_id", F.col("w.start").alias("since"), "done", "succeeded", "failed")
+
+
+def total_progress(stored: DataFrame) -> DataFrame:
+    """Newest counts of every window of a run, added up."""
+    newest = last_write(stored.drop("run", "batch"), ("run_id", "since"), "version")
+    return newest.groupBy("run_id").agg(*[F.sum(c).alias(c) for c in ("done", "succeeded", "failed")])
 
 
 def with_status(progress: DataFrame, totals: DataFrame) -> DataFrame:
@@ -33,19 +48,20 @@ def with_status(progress: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def store_updates(updates: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Write every micro-batch of changed rows to its own sub-folder (replay-safe)."""
+    """Commit every micro-batch of changed rows (see ``commits``)."""
+    run = commits.run_name(checkpoint)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in updates.schema)
+    commits.open_folder(updates.sparkSession, folder, schema)
+
     def write(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        earlier = commits.others(commits.committed(df.sparkSession, folder, schema), run, batch_id)
+        commits.commit(df, earlier, folder, run, batch_id)
 
     return (
         updates.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).foreachBatch(write).start())
 
 
-def current_rows(stored: DataFrame, *keys: str) -> DataFrame:
-    return last_write(stored, keys, "batch")
-
-
 def audit_views(
     views: DataFrame, contracts: DataFrame, delay: str = "1 hour", width: str = "1 hour"
 ) -> DataFrame:
@@ -64,27 +80,44 @@ def audit_views(
 
 
 def stale_run_alerts(events: DataFrame, timeout_seconds: int, delay: str = "10 minutes") -> DataFrame:
-    """(run_id, ts, status) stream -> a failed row for runs that stay active too long."""
+    """(run_id, ts, status) stream -> one failed row for each run that isn't over in time.
+
+    A run is over when an event with a final status lies within the timeout of
+    its first event. A settled run stays in state until it has been silent for
+    another timeout, so late events neither start it again nor alert twice.
+    """
+    limit = timeout_seconds * 1000
+
+    def alert(run: int, started: int) -> pd.DataFrame:
+        return pd.DataFrame({"run_id": [run], "started_ms": [started], "status": ["failed"],
+                             "error_message": [D.STALE_RUN_MESSAGE]})
+
     def watch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        started, settled = state.get if state.exists else (None, False)
         if state.hasTimedOut:
-            (started,) = state.get
-            state.remove()
-            yield pd.DataFrame({
-                "run_id": [key[0]], "started_ms": [started], "status": ["failed"],
-                "error_message": [D.STALE_RUN_MESSAGE]})
+            if settled:
+                state.remove()
+                return
+            yield alert(key[0], started)
+            state.update((started, True))
+            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + limit)
             return
+        over, last = None, 0
         for frame in frames:
-            if (~frame["status"].isin(D.ACTIVE_STATUSES)).any():
-                if state.exists:
-                    state.remove()
-                return
-            started = frame["ts"].min().value // 1_000_000
-            if state.exists:
-                started = min(started, state.get[0])
-            state.update((started,))
-            due = started + timeout_seconds * 1000
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+            stamps = frame["ts"].astype("datetime64[us]").astype("int64") // 1000
+            first, last = int(stamps.min()), max(last, int(stamps.max()))
+            started = first if started is None else min(started, first)
+            ends = stamps[~frame["status"].isin(D.ACTIVE_STATUSES)]
+            if len(ends):
+                over = int(ends.min()) if over is None else min(over, int(ends.min()))
+        if over is not None and not settled:
+            if over > started + limit:
+                yield alert(key[0], started)
+            settled = True
+        state.update((started, settled))
+        due = (last if settled else started) + limit
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
 
     return events.withWatermark("ts", delay).groupBy("run_id").applyInPandasWithState(
         watch, "run_id long, started_ms long, status string, error_message string",
-        "started_ms long", "append", GroupStateTimeout.EventTimeTimeout)
+        "started_ms long, settled boolean", "append", GroupStateTimeout.EventTimeTimeout)

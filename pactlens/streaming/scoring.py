@@ -1,9 +1,4 @@
-"""Incremental scoring: new documents are segmented, cached clauses skipped, results stored.
-
-The store is a folder with one sub-folder per micro-batch. A replayed batch
-overwrites its own sub-folder, so a lost executor or a restart cannot write a
-result twice, and readers take the newest batch of every clause.
-"""
+"""Incremental scoring: new documents are segmented, cached clauses skipped, results stored."""
 
 from __future__ import annotations
 
@@ -13,44 +8,49 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pactlens.functions import scoring
 from pactlens.plans import analyze
-from pactlens.session import spread
 from pactlens.sources.pages import clauses_of
 from pactlens.sources.stores import last_write, with_cache_flag
+from pactlens.streaming import commits
 
 KEY = ("doc_id", "clause_index")
 STORE_SCHEMA = (
     "doc_id long, clause_index int, content_hash string, clause_type string, conf double, "
     "model_score double, n_factors int, risk_level string, summary string, rewrites int, "
-    "error string, batch long")
-COLUMNS = [part.split()[0] for part in STORE_SCHEMA.split(", ") if not part.startswith("batch")]
+    "error string")
+COLUMNS = [part.split()[0] for part in STORE_SCHEMA.split(", ")]
 
 
 def open_store(spark: SparkSession, folder: str) -> None:
     """Make sure the store exists, so that reading it never depends on the first batch."""
-    spark.createDataFrame([], STORE_SCHEMA).drop("batch").write.mode("overwrite").parquet(
-        f"{folder}/batch=-1")
+    commits.open_folder(spark, folder, STORE_SCHEMA)
+
+
+def all_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Every stored row with its commit."""
+    return commits.committed(spark, folder, STORE_SCHEMA)
 
 
 def stored_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Newest stored row per clause."""
-    rows = spark.read.schema(STORE_SCHEMA).parquet(folder)
-    return last_write(rows, KEY, "batch")
+    """Newest good row per clause; the newest failed one only where none is good."""
+    rows = all_scores(spark, folder).withColumn("_order", F.struct(F.col("error").isNull().alias("good"), "version"))
+    return last_write(rows, KEY, "_order").drop("run", "batch")
 
 
 def score_batch(
-    batch: DataFrame, batch_id: int, folder: str, fingerprint: str,
+    batch: DataFrame, batch_id: int, folder: str, run: str, fingerprint: str,
     scorer: analyze.Scorer | None = None,
 ) -> None:
-    """Score the clauses of one micro-batch whose content hash is not stored yet."""
-    spark = batch.sparkSession
-    hashed = clauses_of(spread(batch)).withColumn(
+    """Score the clauses of one micro-batch whose content hash no other commit has."""
+    hashed = clauses_of(batch).withColumn(
         "content_hash", scoring.content_hash(F.col("raw_text"), fingerprint))
-    earlier = spark.read.schema(STORE_SCHEMA).parquet(folder).filter(
-        (F.col("batch") < batch_id) & F.col("error").isNull())
-    known = last_write(earlier.select(*KEY, "content_hash", "batch"), KEY, "batch")
+    earlier = commits.others(all_scores(batch.sparkSession, folder), run, batch_id)
+    good = earlier.filter(F.col("error").isNull()).select(*KEY, "content_hash", "version")
+    # only the documents of this batch are looked up
+    asked = good.join(batch.select("doc_id").distinct(), "doc_id", "left_semi")
+    known = last_write(asked, KEY, "version")
     fresh = with_cache_flag(hashed, known, KEY).filter("NOT is_cached").drop("is_cached")
     scored = analyze.finalize(analyze.score_clauses(analyze.classify_clauses(fresh), scorer))
-    scored.select(*COLUMNS).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+    commits.commit(scored.select(*COLUMNS), earlier, folder, run, batch_id)
 
 
 def start_scoring(
@@ -58,9 +58,10 @@ def start_scoring(
     fingerprint: str = "fake/demo|spark|v4|opt:none", scorer: analyze.Scorer | None = None,
 ) -> StreamingQuery:
     """Score a stream of (doc_id, text) into ``folder`` until it is caught up."""
+    run = commits.run_name(checkpoint)
     return (
         documents.writeStream.option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .foreachBatch(lambda df, i: score_batch(df, i, folder, fingerprint, scorer))
+        .foreachBatch(lambda df, i: score_batch(df, i, folder, run, fingerprint, scorer))
         .start()
     )

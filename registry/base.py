@@ -6,15 +6,17 @@ common table expression for the reference engine.
 
 from __future__ import annotations
 
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
+import pyspark
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pactlens import domain as D
 from pactlens.functions import text as T
 from pactlens.operators import contracts as C
-from pactlens.session import spread
 from pactlens.sources import pages as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +88,12 @@ class Tables:
         return P.clauses_of(self.contract_texts())
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out the rows of a given table that came as one file with a single row group."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def phrase(doc, i):
     choice = F.array(*[F.lit(p) for p in PHRASES])
     return F.element_at(choice, ((doc * 7 + i * 5) % len(PHRASES) + 1).cast("int"))
@@ -119,6 +127,13 @@ PHRASES = (
 )
 
 
+def english_stop_words() -> list[str]:
+    """The English stop words inside Spark's own jar, for SQL that is made before any session."""
+    (jar,) = (Path(pyspark.__file__).parent / "jars").glob("spark-mllib_*.jar")
+    with zipfile.ZipFile(jar) as packed:
+        return packed.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split()
+
+
 def quoted(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 

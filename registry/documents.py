@@ -61,8 +61,10 @@ def _hashed(t: Tables):
 
 def _stored_hashes(t: Tables):
     k = (F.col("doc_id") + F.col("clause_index")) % 4
-    return _hashed(t).filter(k != 3).withColumn(
+    stored = _hashed(t).filter(k != 3).withColumn(
         "content_hash", F.when(k == 0, F.col("content_hash")).when(k == 1, F.lit("stale")))
+    # an older hash of the same clause besides the current one
+    return stored.unionByName(stored.withColumn("content_hash", F.lit("older")))
 
 
 @query("j4_cache_split", with_ctes(
@@ -122,35 +124,38 @@ def s3(t: Tables):
 
 def _annotation_files(t: Tables):
     """One annotation JSON per document; most kinds carry one deliberate fault."""
-    k = F.col("doc_id") % 10
+    k = F.col("doc_id") % 14
     head = F.to_json(F.struct(F.substring(T.normalise_whitespace(F.col("text")), 1, 40).alias("v")))
     quote = F.expr("substring(h, 6, length(h) - 6)")
     label = (F.when(k == 3, '"lease"').when(k == 6, '" N/A "').when(k == 8, "5").otherwise('"Liability"'))
     risk = F.when(k == 2, '"true"').when(k == 6, "null").otherwise("true")
     clause = F.concat(
         F.lit('{"anchor_start": '), F.when(k == 4, F.lit('" "')).otherwise(quote),
-        F.lit(', "clause_type": '), label, F.lit(', "high_risk": '), risk, F.lit("}"))
+        F.lit(', "clause_type": '), label, F.lit(', "high_risk": '), risk,
+        F.when(k == 10, F.lit(', "id": "x"')).otherwise(F.lit("")), F.lit("}"))
     body = F.concat(
         F.lit('{"file": "a.pdf", "clauses": ['), F.when(k == 1, F.lit("")).otherwise(clause),
-        F.lit('], "missing_protections": ['), F.when(k == 7, '"parking"').otherwise('" Scope_Creep"'), F.lit("]}"))
+        F.lit('], "missing_protections": '), F.when(k == 7, '["parking"]').when(k == 11, '"scope_creep"').when(k == 12, '["scope_creep", null]')
+        .when(k == 13, "null").otherwise('[" Scope_Creep"]'), F.lit("}"))
     raw = F.when(k == 5, F.lit("not json {")).when(k == 9, F.lit("[1, 2]")).otherwise(body)
     return t.documents.withColumn("h", head).select(
         F.col("doc_id").cast("string").alias("source"), raw.alias("raw"))
 
 
-@query("s4_annotation_problems", """SELECT doc_id::VARCHAR AS source, CASE WHEN k IN (1, 5, 7, 9) THEN 0 ELSE 1 END::INTEGER AS position,
+@query("s4_annotation_problems", """SELECT doc_id::VARCHAR AS source, CASE WHEN k IN (1, 5, 7, 9, 11, 12) THEN 0 ELSE 1 END::INTEGER AS position,
     CASE k WHEN 1 THEN '''clauses'' must be a non-empty list' WHEN 2 THEN 'high_risk must be true, false or null' WHEN 3 THEN
     'unknown clause_type' WHEN 4 THEN 'anchor_start is required' WHEN 5 THEN 'is not valid JSON' WHEN 7 THEN
+    'unknown missing_protections entry' WHEN 10 THEN 'id must be an integer' WHEN 11 THEN 'unknown missing_protections entry' WHEN 12 THEN
     'unknown missing_protections entry' WHEN 8 THEN 'clause_type must be a string or null' WHEN 9 THEN
-    'the top level must be a JSON object' END AS problem FROM (SELECT doc_id, doc_id % 10 AS k FROM documents) WHERE k NOT IN (0, 6)""")
+    'the top level must be a JSON object' END AS problem FROM (SELECT doc_id, doc_id % 14 AS k FROM documents) WHERE k NOT IN (0, 6, 13)""")
 def s4_problems(t: Tables):
     return N.parse_annotations(_annotation_files(t))[1]
 
 
 @query("s4_annotation_clauses", """SELECT doc_id::VARCHAR AS source, 1::INTEGER AS position, 1::INTEGER AS id,
     trim(substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 40)) AS anchor_start, '' AS anchor_end,
-    CASE doc_id % 10 WHEN 0 THEN 'liability' END AS clause_type, CASE doc_id % 10 WHEN 0 THEN true END AS high_risk
-    FROM documents WHERE doc_id % 10 IN (0, 6)""")
+    CASE WHEN doc_id % 14 <> 6 THEN 'liability' END AS clause_type, CASE WHEN doc_id % 14 <> 6 THEN true END AS high_risk
+    FROM documents WHERE doc_id % 14 IN (0, 6, 13)""")
 def s4_clauses(t: Tables):
     return N.parse_annotations(_annotation_files(t))[0]
 

@@ -38,9 +38,10 @@ def p3(t: Tables):
 
 
 @query("p4_drop_unlabeled", """SELECT d.doc_id, l.toxic = 1 AS gold_high FROM documents d
-    LEFT JOIN labels l USING (doc_id) WHERE l.toxic IS NOT NULL AND trim(d.text) <> ''""")
+    LEFT JOIN labels l USING (doc_id) WHERE l.toxic IS NOT NULL AND d.doc_id % 5 > 0 AND trim(d.text, ' ' || chr(9) || chr(10)) <> ''""")
 def p4(t: Tables):
-    rows = t.documents.select("doc_id", "text").join(t.labels, "doc_id", "left").withColumn(
+    blank = F.when(F.col("doc_id") % 5 == 0, F.lit("\n\t ")).otherwise(F.col("text"))
+    rows = t.documents.select("doc_id", blank.alias("text")).join(t.labels, "doc_id", "left").withColumn(
         "gold_high", F.col("toxic") == 1)
     return E.labeled(rows, "gold_high", "text").select("doc_id", "gold_high")
 

@@ -6,39 +6,61 @@ from pactlens.functions import scoring as S
 from pactlens.operators import runs as R
 from pactlens.plans import analyze as A
 from pactlens.session import fresh_path
-from pactlens.streaming import admission, runs as SR, scoring as SS
+from pactlens.streaming import admission, commits, runs as SR, scoring as SS
 from registry.base import D, F, HYBRID_SQL, LEVEL_SQL, Tables, query, quoted, with_ctes
 from registry.documents import _DOC_CTES
 from registry.relations import _OUTCOME_SQL
 from registry.texts import CTE_TYPED
 
 
-def stream_of(t: Tables, name: str):
-    """The table's file as a stream; its timestamp column becomes an instant."""
+BATCHES = 6
+
+
+def stream_of(t: Tables, name: str, order: str = "ts", batches: int = BATCHES):
+    """The whole table as a stream of several micro-batches in the order of a column.
+
+    The table is written in ``batches`` parts, one after the other, as the
+    source takes files by the time they were written.
+    """
     static = getattr(t, name)
-    rows = t.spark.readStream.schema(static.schema).option(
-        "pathGlobFilter", f"{name}.parquet").parquet(t.folder)
-    return rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in rows.columns else rows
+    if order == "ts":
+        static = static.withColumn("ts", F.col("ts").cast("timestamp"))
+    place = F.col(order).cast("double")
+    cuts = static.select(F.percentile_approx(place, [i / batches for i in range(1, batches)], 1000)).first()[0] or []
+    folder = fresh_path(t.spark, f"stream-{name}")
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = static
+        if low is not None:
+            part = part.filter(place > low)
+        if high is not None:
+            part = part.filter(place <= high)
+        part.write.mode("append").parquet(folder)
+    return t.spark.readStream.schema(static.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 @query("t1_incremental_scoring", with_ctes(
-    f"SELECT doc_id, clause_index, clause_type, {LEVEL_SQL} AS risk_level FROM h", "doc_clauses", **_DOC_CTES))
+    f"SELECT doc_id, clause_index, clause_type, {LEVEL_SQL} AS risk_level, 1::BIGINT AS times_scored FROM h", "doc_clauses", **_DOC_CTES))
 def t1(t: Tables):
-    """Two passes over the same documents; the second one finds everything cached."""
+    """Even documents, odd documents, then all of them again, which finds every clause cached.
+
+    Each pass is a stream with a checkpoint of its own over one store;
+    ``times_scored`` counts the rows that all passes stored for a clause.
+    """
     folder = fresh_path(t.spark, "scores")
     SS.open_store(t.spark, folder)
-    for turn in ("first", "second"):
-        texts = _contract_stream(t)
-        SS.start_scoring(texts, folder, fresh_path(t.spark, f"scores-{turn}")).awaitTermination()
-    stored = SS.stored_scores(t.spark, folder)
-    return stored.select("doc_id", "clause_index", "clause_type", "risk_level")
+    texts = _contract_stream(t)
+    for name, rows in (("even", texts.filter("doc_id % 2 = 0")), ("odd", texts.filter("doc_id % 2 = 1")), ("again", texts)):
+        SS.start_scoring(rows, folder, fresh_path(t.spark, f"scores-{name}")).awaitTermination()
+    times = SS.all_scores(t.spark, folder).groupBy(*SS.KEY).agg(F.count("*").alias("times_scored"))
+    stored = SS.stored_scores(t.spark, folder).join(times, list(SS.KEY))
+    return stored.select("doc_id", "clause_index", "clause_type", "risk_level", "times_scored")
 
 
 def _contract_stream(t: Tables):
     from registry.base import phrase
     lines = F.transform(F.split("text", "\n"), lambda line, i: F.concat(
         line, F.lit(" "), phrase(F.col("doc_id"), i)))
-    return stream_of(t, "documents").select("doc_id", F.array_join(lines, "\n\n").alias("text"))
+    return stream_of(t, "documents", "doc_id", batches=2).select("doc_id", F.array_join(lines, "\n\n").alias("text"))
 
 
 @query("t2_run_progress", with_ctes(
@@ -47,11 +69,11 @@ def _contract_stream(t: Tables):
     "FROM o GROUP BY 1", o=_OUTCOME_SQL))
 def t2(t: Tables):
     events = stream_of(t, "events").select(
-        F.col("user_id").alias("run_id"),
+        F.col("user_id").alias("run_id"), "ts",
         F.when(F.col("event_type") == "error", "Timeout").when(F.col("user_id") % 9 == 0, "No result").alias("error"))
     folder = fresh_path(t.spark, "progress")
     SR.store_updates(SR.run_progress(events), folder, fresh_path(t.spark, "progress-cp")).awaitTermination()
-    progress = SR.current_rows(t.spark.read.parquet(folder), "run_id")
+    progress = SR.total_progress(commits.committed(t.spark, folder, SR.PROGRESS_SCHEMA))
     totals = t.events.groupBy(F.col("user_id").alias("run_id")).agg(F.count("*").alias("n")).select(
         "run_id", (F.col("n") + F.col("run_id") % 2).alias("clause_count"))
     return SR.with_status(progress, totals).select("run_id", "done", "succeeded", "failed", "status")
@@ -108,21 +130,23 @@ _NOW = "TIMESTAMP '2024-01-31 00:00:00'"
 
 
 @query("t5_stale_runs", with_ctes(
-    f"SELECT run_id, CASE WHEN stale THEN 'failed' ELSE status END AS status, CASE WHEN stale THEN {quoted(D.STALE_RUN_MESSAGE)} END AS "
-    f"error_message FROM (SELECT *, status IN ('pending','running') AND started_at < {_NOW} - INTERVAL 10 DAY AS stale FROM runs)", "runs"))
+    f"SELECT run_id, CASE WHEN stale THEN 'failed' ELSE status END AS status, CASE WHEN stale THEN {quoted(D.STALE_RUN_MESSAGE)} "
+    f"WHEN status = 'failed' THEN 'cause ' || run_id END AS error_message FROM (SELECT *, status IN ('pending','running') AND started_at < {_NOW} - INTERVAL 10 DAY AS stale FROM runs)", "runs"))
 def t5(t: Tables):
-    runs = t.runs().withColumn("completed_at", F.lit(None).cast("timestamp_ntz"))
+    cause = F.when(F.col("status") == "failed", F.concat(F.lit("cause "), F.col("run_id").cast("string")))
+    runs = t.runs().withColumns({"completed_at": F.lit(None).cast("timestamp_ntz"), "error_message": cause})
     now = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
     return R.recover_stale(runs, now, "10 DAYS").select("run_id", "status", "error_message")
 
 
-@query("t5_stale_run_alerts", """SELECT user_id AS run_id, min(epoch_us(ts)) // 1000 AS started_ms FROM events WHERE user_id NOT IN
-    (SELECT user_id FROM events WHERE event_type IN ('purchase', 'view') AND event_id % 40 = 0) AND user_id % 3 = 0 GROUP BY 1
-    HAVING min(epoch_us(ts)) // 1000 + 864000000 < (SELECT epoch_us(max(ts)) // 1000 - 600000 FROM events WHERE user_id % 3 = 0)""")
+@query("t5_stale_run_alerts", """SELECT run_id, started_ms FROM (SELECT user_id AS run_id, min(epoch_us(ts)) // 1000 AS started_ms,
+    min(epoch_us(ts)) FILTER (event_type IN ('purchase', 'view') AND event_id % 40 = 0) // 1000 AS over_ms FROM events GROUP BY 1)
+    WHERE CASE WHEN over_ms IS NULL THEN started_ms + 864000000 < (SELECT epoch_us(max(ts)) // 1000 - 600000 FROM events)
+    ELSE over_ms > started_ms + 864000000 END""")
 def t5_stream(t: Tables):
     """Runs that never report completion within ten days of their first event."""
     done = F.col("event_type").isin("purchase", "view") & (F.col("event_id") % 40 == 0)
-    events = stream_of(t, "events").filter("user_id % 3 = 0").select(
+    events = stream_of(t, "events").select(
         F.col("user_id").alias("run_id"), "ts", F.when(done, "completed").otherwise("running").alias("status"))
     folder = fresh_path(t.spark, "stale")
     (SR.stale_run_alerts(events, 10 * 86400).writeStream.format("parquet").option("path", folder)

@@ -63,7 +63,7 @@ def layout_lines(t: Tables):
     return rows.select(
         "doc_id", "line_no",
         F.when(F.col("line_no") % 4 == 2, F.concat(
-            (F.col("line_no") % 20 + 1).cast("string"), F.lit(". "), F.substring("line", 1, 60)))
+            (F.col("line_no") % 20 + 1).cast("string"), F.lit(". "), F.col("line")))
         .otherwise(F.col("line")).alias("text"),
         (F.lit(10) + seed % 3 + F.when((F.col("doc_id") * 3 + F.col("line_no")) % 9 == 0, 3)
          .otherwise(0)).cast("double").alias("max_size"),
@@ -72,7 +72,7 @@ def layout_lines(t: Tables):
 
 LAYOUT_SQL = (
     "SELECT doc_id, line_no, CASE WHEN line_no % 4 = 2 THEN (line_no % 20 + 1) || '. ' || "
-    "substr(line, 1, 60) ELSE line END AS text, (10 + (doc_id + line_no) % 3 + CASE WHEN "
+    "line ELSE line END AS text, (10 + (doc_id + line_no) % 3 + CASE WHEN "
     "(doc_id * 3 + line_no) % 9 = 0 THEN 3 ELSE 0 END)::DOUBLE AS max_size, "
     "(doc_id + line_no) % 5 = 0 AS all_bold FROM doc_lines")
 _BODY_SQL = "SELECT doc_id, median(max_size) AS body_size FROM lay WHERE trim(text) <> '' GROUP BY 1"
