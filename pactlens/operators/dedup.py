@@ -1,10 +1,12 @@
 """Near-duplicate removal that keeps the first of each family.
 
 Similarity is the exact Jaccard index of word shingles. Candidate rows meet in
-buckets of shared rare shingles (prefix filter), and a row is only ever
-compared with rows already kept, never with every other row of its bucket, so
-the work of a round is linear in the open rows even when one bucket holds a
-large part of the data.
+buckets of shared rare shingles (prefix filter). A fixed number of rounds first
+compares rows with the ones that lead all their buckets, which settles families
+of copies in linear work. The rest is joined inside its buckets under a bound
+on the symmetric difference that only truly similar rows pass, and the keep-first
+rounds then run over verified links, so that rows which merely share text
+never wait for each other.
 """
 
 from __future__ import annotations
@@ -95,56 +97,104 @@ def _live_members(members: DataFrame) -> DataFrame:
     return members.join(live, "token", "left_semi")
 
 
+LEADER_ROUNDS = 2
+BITMAP_WORDS = 4
+
+
+def _bitmap(shingles: Column) -> Column:
+    """Parity of the shingles that fall on each of 256 bits."""
+    def word(k: int) -> Column:
+        return F.aggregate(shingles, F.lit(0).cast("long"), lambda acc, x: F.when(
+            F.shiftright(x, 6).bitwiseAND(BITMAP_WORDS - 1) == k,
+            acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int")))).otherwise(acc))
+
+    return F.struct(*[word(k).alias(f"w{k}") for k in range(BITMAP_WORDS)])
+
+
+def _near_bitmaps(threshold: float) -> Column:
+    """Bits in which two bitmaps differ are a lower bound of the symmetric difference."""
+    differ = sum((F.bit_count(F.col(f"left.bits.w{k}").bitwiseXOR(F.col(f"right.bits.w{k}"))) for k in range(BITMAP_WORDS)), F.lit(0))
+    return differ <= (F.col("left.n") + F.col("right.n")) * ((1 - threshold) / (1 + threshold)) + 1e-9
+
+
+def _verify(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
+    """(id, keeper_id) candidates -> those that reach the threshold, with their ``jaccard``."""
+    return (
+        pairs.join(shingles.withColumnRenamed("shingles", "own"), "id")
+        .join(shingles.select(F.col("id").alias("keeper_id"), F.col("shingles").alias("other")), "keeper_id")
+        .select("id", "keeper_id", _jaccard(F.col("own"), F.col("other")).alias("jaccard"))
+        .filter(F.col("jaccard") >= threshold))
+
+
+def _first_hits(scored: DataFrame) -> DataFrame:
+    return scored.groupBy("id").agg(
+        F.min_by(F.struct("keeper_id", "jaccard"), "keeper_id").alias("hit")).select("id", "hit.*")
+
+
+def _meet(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(id, keeper_id) of members that share a bucket and pass all bounds."""
+    return left.alias("left").join(
+        right.alias("right"),
+        (F.col("left.token") == F.col("right.token")) & (F.col("right.id") < F.col("left.id"))
+        & _can_match(threshold) & _near_bitmaps(threshold)
+    ).select(F.col("left.id").alias("id"), F.col("right.id").alias("keeper_id")).distinct()
+
+
+def _leader_round(members: DataFrame, shingles: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(hits, open members) after the rows that lead all of their buckets are kept."""
+    # the first row a member has to wait for: an indexing one, or any if it indexes itself
+    bucket = members.groupBy("token").agg(
+        F.min("id").alias("first_any"),
+        F.min(F.when(F.col("indexes"), F.col("id"))).alias("first_indexed"))
+    waits = members.join(bucket, "token").groupBy("id").agg(F.every(
+        F.col("id") <= F.when(F.col("indexes"), F.col("first_any"))
+        .otherwise(F.coalesce("first_indexed", F.col("id")))).alias("is_first"))
+    kept = waits.filter("is_first").select("id")
+    open_members = members.join(kept, "id", "left_anti")
+    found = _meet(open_members, members.join(kept, "id", "left_semi"), threshold)
+    hits = cut_lineage(_first_hits(_verify(found, shingles, threshold)))
+    return hits, cut_lineage(_live_members(open_members.join(hits.select("id"), "id", "left_anti")))
+
+
+def _settle_links(links: DataFrame) -> DataFrame:
+    """Hits of the keep-first scan over verified links (id, keeper_id, jaccard), ``keeper_id`` being the earlier row.
+
+    A round keeps the rows without an open earlier neighbour and drops their
+    neighbours; rounds follow the longest chain of similar rows.
+    """
+    hits = links.limit(0)
+    while not links.isEmpty():
+        later = links.select(F.col("id").alias("keeper_id"))
+        gone = cut_lineage(_first_hits(links.join(later, "keeper_id", "left_anti")))
+        hits = hits.unionByName(gone)
+        dropped = gone.select("id")
+        links = cut_lineage(links.join(dropped, "id", "left_anti").join(
+            dropped.withColumnRenamed("id", "keeper_id"), "keeper_id", "left_anti"))
+    return hits
+
+
 def near_duplicates(
     rows: DataFrame, id_col: str = "id", text: str = "text",
     threshold: float = D.NEAR_DUPLICATE_JACCARD,
 ) -> DataFrame:
     """Greedy keep-first scan in id order: (id, keeper_id, jaccard).
 
-    One row per dropped row, with the first kept row it is similar to. Each
-    round keeps the rows that are first in all of their buckets, compares the
-    open rows with just those, and drops what is similar. Only row counts
-    reach the driver; every round is cut off by a reliable checkpoint.
+    One row per dropped row, with a kept earlier row it is similar to. Only
+    emptiness checks reach the driver; lineage is cut by reliable checkpoints.
     """
     sets = shingle_sets(rows, id_col, text)
     firsts, copies = collapse_copies(sets)
     ordered = cut_lineage(rare_first(firsts))
-    members = cut_lineage(_live_members(prefix_members(ordered, threshold)))
-    shingles = ordered.join(members.select("id").distinct(), "id", "left_semi").select(
-        "id", "shingles")
-    shingles = cut_lineage(shingles)
-    dropped = None
-    while not members.isEmpty():
-        # the first row a member has to wait for: an indexing one, or any if it indexes itself
-        bucket = members.groupBy("token").agg(
-            F.min("id").alias("first_any"),
-            F.min(F.when(F.col("indexes"), F.col("id"))).alias("first_indexed"))
-        waits = members.join(bucket, "token").groupBy("id").agg(F.every(
-            F.col("id") <= F.when(F.col("indexes"), F.col("first_any"))
-            .otherwise(F.coalesce("first_indexed", F.col("id")))).alias("is_first"))
-        kept = waits.filter("is_first").select("id")
-        kept_members = members.join(kept, "id", "left_semi")
-        open_members = members.join(kept, "id", "left_anti")
-        candidates = (
-            open_members.alias("left").join(
-                kept_members.alias("right"),
-                (F.col("left.token") == F.col("right.token"))
-                & (F.col("right.id") < F.col("left.id")) & _can_match(threshold))
-            .select(F.col("left.id").alias("id"), F.col("right.id").alias("keeper_id")).distinct())
-        scored = (
-            candidates.join(shingles.withColumnRenamed("shingles", "own"), "id")
-            .join(shingles.select(F.col("id").alias("keeper_id"), F.col("shingles").alias("other")),
-                  "keeper_id")
-            .select("id", "keeper_id", _jaccard(F.col("own"), F.col("other")).alias("jaccard"))
-            .filter(F.col("jaccard") >= threshold))
-        hits = cut_lineage(scored.groupBy("id").agg(
-            F.min_by(F.struct("keeper_id", "jaccard"), "keeper_id").alias("hit"))
-            .select("id", "hit.*"))
-        dropped = hits if dropped is None else dropped.unionByName(hits)
-        members = cut_lineage(_live_members(
-            open_members.join(hits.select("id"), "id", "left_anti")))
-    if dropped is None:
-        dropped = copies.sparkSession.createDataFrame([], "id long, keeper_id long, jaccard double")
+    prefixes = _live_members(prefix_members(ordered, threshold))
+    shingles = cut_lineage(ordered.select("id", "shingles").join(
+        cut_lineage(prefixes.select("id").distinct()), "id", "left_semi"))
+    members = cut_lineage(prefixes.join(shingles.select("id", _bitmap(F.col("shingles")).alias("bits")), "id"))
+    dropped = rows.sparkSession.createDataFrame([], "id long, keeper_id long, jaccard double")
+    for _ in range(LEADER_ROUNDS):
+        hits, members = _leader_round(members, shingles, threshold)
+        dropped = dropped.unionByName(hits)
+    links = cut_lineage(_verify(_meet(members, members, threshold), shingles, threshold))
+    dropped = dropped.unionByName(_settle_links(links))
     fate = copies.join(dropped.withColumnRenamed("id", "first_id"), "first_id", "left")
     return dropped.unionByName(fate.select(
         "id", F.coalesce("keeper_id", "first_id").alias("keeper_id"),
