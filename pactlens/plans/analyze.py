@@ -79,7 +79,7 @@ def finalize(answers: DataFrame) -> DataFrame:
     factors = bind(F.transform(
         scoring.parse_factors(F.col("factors_raw")), lambda f: language.sanitize(f)), cleaned)
     parsed = answers.withColumns({
-        "model_score": scoring.parse_score(F.col("score_raw")),
+        "model_score": F.round(scoring.parse_score(F.col("score_raw")), 4),  # scores are stored with four decimals
         "_summary": language.sanitize(scoring.strip(F.col("summary"))),
         "_factors": factors,
     })

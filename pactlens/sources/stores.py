@@ -154,6 +154,41 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
         .when(F.col("_damaged").isNotNull(), F.lit("malformed report")).alias("error"))
 
 
+HISTORY_SCHEMA = ("run_id string, started_at string, best_score double, trial_count int, artifact_sha string, "
+                  "trials array<struct<index: int, score: double>>")
+
+
+def read_tuning_history(spark: SparkSession, path: str) -> DataFrame:
+    """Tuning runs of a history file, for ``runs.tuning_history``.
+
+    A missing, damaged or wrongly shaped file is an empty history; entries
+    that are no objects are skipped. A trial without an index takes its
+    position from 1, and an artifact tag is stored bare.
+    """
+    try:
+        files = spark.read.text(path, wholetext=True)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], HISTORY_SCHEMA)
+
+    def is_object(value):
+        return F.coalesce(F.schema_of_variant(value), F.lit("VOID")).startswith("OBJECT")
+
+    runs = files.select(F.explode(F.try_variant_get(
+        F.try_parse_json("value"), "$.runs", "array<variant>")).alias("run")).filter(is_object(F.col("run")))
+    get = lambda path, kind: F.try_variant_get(F.col("run"), path, kind)
+    trials = F.filter(F.coalesce(get("$.trials", "array<variant>"), F.array().cast("array<variant>")), is_object)
+    bare = F.regexp_replace(get("$.artifact_sha", "string"), "^opt:", "")
+    return runs.select(
+        get("$.run_id", "string").alias("run_id"), get("$.started_at", "string").alias("started_at"),
+        get("$.best_score", "double").alias("best_score"), get("$.trial_count", "int").alias("trial_count"),
+        F.when(~bare.isin("", "none"), bare).alias("artifact_sha"),
+        F.transform(trials, lambda t, i: F.struct(
+            F.coalesce(F.try_variant_get(t, "$.index", "int"), i + 1).alias("index"),
+            F.try_variant_get(t, "$.score", "double").alias("score"))).alias("trials"))
+
+
 def report_gate(report: DataFrame, problems: DataFrame, provider: str) -> DataFrame:
     """Report row plus where it may go: ``provisional``, ``published`` or ``refused``.
 
