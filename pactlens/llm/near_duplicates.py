@@ -7,16 +7,18 @@ The share of equal coordinates estimates the generalised Jaccard similarity.
 Texts meet where all coordinates of a band agree; links are verified exactly.
 
 A bucket never emits its pairs. Its members are compared with one hub first;
-only members that no link has joined to the hub's component are compared with
-the members of other components. Components are found by label propagation
-with pointer jumping over written tables.
+only members that no link has joined to the hub's component meet the members
+of other components, and of these pairs only those come out whose bitmaps
+allow the threshold: the bits in which two parity bitmaps differ never exceed
+the symmetric difference, so no link is lost. Components are found by label
+propagation with pointer jumping over written tables.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactlens.llm.texts import code_points, counted, mix, seeds, shingles, slices, words
@@ -24,7 +26,8 @@ from pactlens.session import cut_lineage, fresh_path
 
 WORDS = 5  # of a shingle
 THRESHOLD = 0.8  # generalised Jaccard similarity of a link
-BANDS, ROWS = 40, 8  # a pair at the threshold meets in some band with probability 0.9993
+BANDS, ROWS = 32, 7  # a pair at the threshold meets in some band with probability 0.9994
+BITMAP = 16  # 64-bit words of the parity bitmap
 COORDINATES = BANDS * ROWS
 DARTS = int(COORDINATES * (np.log(COORDINATES) + 3))  # regions thrown at first; few texts need more
 GROUP = 1 << 18  # regions that are thrown at together
@@ -95,6 +98,15 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return mix(parts.sum(2, dtype=np.uint64) + seeds(BANDS, 12))
 
 
+def bitmaps(region: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(texts, BITMAP) parity of the regions that fall on each bit."""
+    n, bits = len(offsets) - 1, BITMAP * 64
+    text = np.repeat(np.arange(n), np.diff(offsets))
+    cell = text * bits + (region >> np.uint64(32)).astype(np.int64) % bits
+    odd = (np.bincount(cell, minlength=n * bits) & 1).astype(np.uint8).reshape(n, bits)
+    return np.packbits(odd, axis=1).view(np.int64)
+
+
 def sketch(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(content hash, band keys, regions, offsets) of whole texts; texts without words have no band keys."""
     points, offsets = code_points(texts)
@@ -110,7 +122,7 @@ def sketch(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_key, node, bands, regions) of every row, written to the shared folder once.
+    """(doc_id, text_key, node, bands, bits, regions) of every row, written to the shared folder once.
 
     ``node`` is a 64-bit hash of the weighted shingles, or of the text where it
     has no words; rows with one node are copies.
@@ -126,12 +138,13 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"), part.column("text_key"), pa.array(node.view(np.int64)),
                     pa.ListArray.from_arrays(ends, bands[worded].view(np.int64).ravel()),
+                    pa.ListArray.from_arrays(np.arange(len(node) + 1, dtype=np.int32) * BITMAP, bitmaps(region, at).ravel()),
                     pa.ListArray.from_arrays(at.astype(np.int32), region.astype(np.uint32).view(np.int32))],
-                    ["doc_id", "text_key", "node", "bands", "regions"])
+                    ["doc_id", "text_key", "node", "bands", "bits", "regions"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     path = fresh_path(docs.sparkSession, "sketches")
-    rows.mapInArrow(run, f"doc_id {kind}, text_key long, node long, bands array<long>, regions array<int>").write.parquet(path)
+    rows.mapInArrow(run, f"doc_id {kind}, text_key long, node long, bands array<long>, bits array<long>, regions array<int>").write.parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
@@ -187,6 +200,13 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def may_link(threshold: float) -> Column:
+    """Whether sizes and bitmaps of rows ``x`` and ``y`` allow the threshold."""
+    low, high = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
+    differ = sum((F.bit_count(F.get("x.bits", F.lit(k)).bitwiseXOR(F.get("y.bits", F.lit(k)))) for k in range(BITMAP)), F.lit(0))
+    return (low >= threshold * high) & (differ <= (low + high) * ((1 - threshold) / (1 + threshold)) + 1e-9)
+
+
 def links_of(rows: DataFrame, threshold: float) -> DataFrame:
     """Verified links (a, b), enough to join every pair of linked nodes that met in a band."""
     met = shared_bands(rows)
@@ -198,8 +218,15 @@ def links_of(rows: DataFrame, threshold: float) -> DataFrame:
     hubs = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
     lone = cut_lineage(placed.join(hubs, "hub", "left").filter(F.col("label") != F.coalesce("hub_label", "hub")).select(
         "key", F.col("node").alias("a"), F.col("label").alias("label_a")))
-    others = placed.filter("node <> hub").select("key", F.col("node").alias("b"), F.col("label").alias("label_b"))
-    more = lone.join(others, "key").filter("label_a <> label_b").select(
+    # bitmaps for the members of the buckets that still hold a lone member
+    left = cut_lineage(placed.filter("node <> hub").join(cut_lineage(lone.select("key").distinct()), "key").select(
+        "key", F.col("node").alias("b"), F.col("label").alias("label_b")))
+    asked = cut_lineage(left.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("met")))
+    facts = cut_lineage(rows.select("node", "bits", F.size("regions").alias("n")).join(asked, "node").groupBy("node").agg(
+        F.first("bits").alias("bits"), F.max("n").alias("n")))
+    x = cut_lineage(lone.join(facts.withColumnRenamed("node", "a"), "a")).alias("x")
+    y = cut_lineage(left.join(facts.withColumnRenamed("node", "b"), "b")).alias("y")
+    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("label_a") != F.col("label_b")) & may_link(threshold)).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return links.union(verified(cut_lineage(more), rows, threshold))
 
