@@ -155,24 +155,28 @@ def shared_bands(rows: DataFrame) -> DataFrame:
     smaller node: in a group of copies of one text it is the text they all resemble.
     """
     members = rows.select("node", F.explode("bands").alias("key"))
-    several = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
-    open_ = cut_lineage(members.join(several, "key").groupBy("key", "node").agg(F.count("*").alias("copies")))
-    sizes = cut_lineage(open_.groupBy("key").agg(F.count("*").alias("size")))
-    met = cut_lineage(open_.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("met")))
+    several = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size")).filter(
+        "low < high").select("key", "size")
+    open_ = cut_lineage(members.join(several, "key").groupBy("key", "node").agg(F.max("size").alias("size")))
+    met = cut_lineage(open_.groupBy("node").agg(F.sum("size").alias("met")))
     best = open_.join(met, "node").groupBy("key").agg(
         F.max(F.struct("met", (-F.col("node").cast("decimal(20,0)")).alias("order"), "node")).alias("best"))
     hubs = cut_lineage(best.select("key", F.col("best.node").alias("hub")))
     return cut_lineage(open_.select("key", "node").join(hubs, "key"))
 
 
-def verified(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+def member_sets(rows: DataFrame, met: DataFrame) -> DataFrame:
+    """(node, bits, regions) of every node that shares a bucket, written once for all comparisons."""
+    asked = cut_lineage(met.groupBy("node").agg(F.count("*").alias("n")).select("node"))
+    return cut_lineage(rows.select("node", "bits", "regions").join(asked, "node").groupBy("node").agg(
+        F.first(F.struct("bits", "regions")).alias("s")).select("node", "s.bits", "s.regions"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose exact similarity reaches the threshold; ``pairs`` is a written table."""
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).groupBy("node").agg(F.count("*").alias("n"))
-    sets = cut_lineage(rows.select("node", "regions").join(cut_lineage(asked.select("node")), "node").groupBy("node").agg(
-        F.first("regions").alias("regions")))
     left = sets.select(F.col("node").alias("a"), F.col("regions").alias("ra"))
     right = sets.select(F.col("node").alias("b"), F.col("regions").alias("rb"))
-    both = pairs.join(left, "a").filter("ra IS NOT NULL").join(right, "b")
+    both = pairs.join(left, "a").join(right, "b")
     total = F.size("ra") + F.size("rb")
     # the sizes alone bound the similarity
     able = F.least(F.size("ra"), F.size("rb")) >= threshold * F.greatest(F.size("ra"), F.size("rb"))
@@ -210,25 +214,23 @@ def may_link(threshold: float) -> Column:
 def links_of(rows: DataFrame, threshold: float) -> DataFrame:
     """Verified links (a, b), enough to join every pair of linked nodes that met in a band."""
     met = shared_bands(rows)
+    sets = member_sets(rows, met)
     first = cut_lineage(met.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
-    links = cut_lineage(verified(first, rows, threshold))
+    links = cut_lineage(verified(first, sets, threshold))
     labels = components(links)
-    label = F.coalesce("label", "node")
-    placed = cut_lineage(met.join(labels, "node", "left").select("key", "node", "hub", label.alias("label")))
+    placed = cut_lineage(met.join(labels, "node", "left").select("key", "node", "hub", F.coalesce("label", "node").alias("label")))
     hubs = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
-    lone = cut_lineage(placed.join(hubs, "hub", "left").filter(F.col("label") != F.coalesce("hub_label", "hub")).select(
-        "key", F.col("node").alias("a"), F.col("label").alias("label_a")))
+    facts = sets.select("node", "bits", F.size("regions").alias("n"))
+    lone = placed.join(hubs, "hub", "left").filter(F.col("label") != F.coalesce("hub_label", "hub")).select(
+        "key", F.col("node").alias("a"), F.col("label").alias("label_a"))
+    x = cut_lineage(lone.join(facts.withColumnRenamed("node", "a"), "a"))
     # bitmaps for the members of the buckets that still hold a lone member
-    left = cut_lineage(placed.filter("node <> hub").join(cut_lineage(lone.select("key").distinct()), "key").select(
-        "key", F.col("node").alias("b"), F.col("label").alias("label_b")))
-    asked = cut_lineage(left.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("met")))
-    facts = cut_lineage(rows.select("node", "bits", F.size("regions").alias("n")).join(asked, "node").groupBy("node").agg(
-        F.first("bits").alias("bits"), F.max("n").alias("n")))
-    x = cut_lineage(lone.join(facts.withColumnRenamed("node", "a"), "a")).alias("x")
-    y = cut_lineage(left.join(facts.withColumnRenamed("node", "b"), "b")).alias("y")
-    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("label_a") != F.col("label_b")) & may_link(threshold)).select(
+    left = placed.filter("node <> hub").join(cut_lineage(x.select("key").distinct()), "key").select(
+        "key", F.col("node").alias("b"), F.col("label").alias("label_b"))
+    y = cut_lineage(left.join(facts.withColumnRenamed("node", "b"), "b"))
+    more = x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("label_a") != F.col("label_b")) & may_link(threshold)).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return links.union(verified(cut_lineage(more), rows, threshold))
+    return links.union(verified(cut_lineage(more), sets, threshold))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
