@@ -33,28 +33,35 @@ def terms(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return counted(mix(word * np.uint64(3) + before), at)
 
 
-# -log of the middle of each of 2**16 equal parts of (0, 1): an exponential variate from 16 bits
-EXPONENTIAL = -np.log((np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.float32)
+def _gamma_quantiles() -> np.ndarray:
+    """Quantiles of the gamma distribution with shape 2 in the middle of 2**16 equal parts of (0, 1)."""
+    x = np.geomspace(1e-4, 40, 1 << 18)
+    return np.interp((np.arange(1 << 16) + 0.5) / (1 << 16), 1 - (1 + x) * np.exp(-x), x).astype(np.float32)
+
+
+GAMMA = _gamma_quantiles()
+LOG_GAMMA = np.log(GAMMA)
 
 
 def samples(term: np.ndarray, log_weight: np.ndarray, seed: np.uint64) -> tuple[np.ndarray, np.ndarray]:
     """Rank and level of each weighted term in one sample."""
-    bits = (term ^ seed) * np.uint64(0xBF58476D1CE4E5B9)
+    bits = term ^ seed
+    bits *= np.uint64(0xBF58476D1CE4E5B9)
     bits ^= bits >> np.uint64(32)
     bits *= np.uint64(0x94D049BB133111EB)
     bits ^= bits >> np.uint64(29)
     part = bits.view(np.uint16).reshape(-1, 4)
-    r = EXPONENTIAL[part[:, 0]] + EXPONENTIAL[part[:, 1]]  # gamma variates with shape 2
-    c = EXPONENTIAL[part[:, 2]] + EXPONENTIAL[part[:, 3]]
-    bits *= np.uint64(0x9E3779B97F4A7C15)
-    beta = (bits >> np.uint64(40)).astype(np.float32)
-    beta *= np.float32(2.0**-24)
+    r = GAMMA[part[:, 0]]
+    beta = bits.view(np.uint32).reshape(-1, 2)[:, 1].astype(np.float32)
+    beta *= np.float32(2.0**-32)
     level = log_weight / r
     level += beta
     np.floor(level, out=level)
-    rank = np.log(c)
-    rank -= r * (level - beta + np.float32(1))
-    return rank, level
+    beta -= level
+    beta -= np.float32(1)
+    beta *= r
+    beta += LOG_GAMMA[part[:, 1]]  # log of c, minus r * (level - beta + 1)
+    return beta, level
 
 
 def signatures(term: np.ndarray, weight: np.ndarray, offsets: np.ndarray) -> np.ndarray:
