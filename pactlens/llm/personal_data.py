@@ -54,7 +54,7 @@ def mod_97(iban: Column) -> Column:
 def confirmed(kind: str, value: Column) -> Column:
     """Whether the validator of the kind accepts the matched text."""
     if kind == "ip":
-        return ~F.exists(F.split(value, r"\."), lambda part: ~part.rlike("^0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"))
+        return ~F.exists(F.split(value, r"\."), lambda part: ~part.rlike("^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"))
     if kind == "card":
         return bind(digits(value), lambda d: F.length(d).between(13, 19) & F.call_function("luhn_check", d))
     if kind == "phone":

@@ -285,6 +285,15 @@ def test_base_spans(spark, documents):
         assert [r[f"n_{k}"] for k in BASE] == [sum(s.startswith(k + ":") for s in want.split(",")) for k in BASE]
 
 
+def test_addresses_with_parts_of_zeros(spark):
+    values = {0: "10.0.0.1 0.0.0.0 000.1.2.3", 1: "127.0.0.1 at 192.168.0.5", 2: "0.0.0.256 00000.0000255.0.1 0.0.0", 3: "0" * 4000 + ".0.0.0"}
+    rows = personal_data.op6_personal_data(spark.createDataFrame(list(values.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_ip"] for r in rows} == {0: 3, 1: 2, 2: 1, 3: 1}
+    for r in rows:
+        want = base_spans(values[r["doc_id"]])
+        assert r["base_sha256"] == sha(want) and r["spans"] == want
+
+
 def test_added_kinds_need_their_checks(spark):
     frame = spark.createDataFrame([(1, "IBAN GB82 WEST 1234 5698 7654 32 or"), (2, "IBAN GB83 WEST 1234 5698 7654 32"), (3, "ssn: 123-45-6789"),
                                    (4, "part 123-45-6789"), (5, "DE89370400440532013000")], "doc_id long, text string")
