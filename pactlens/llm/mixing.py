@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pactlens.session import fresh_path
+
 SOURCE_BLOCKS = 1024  # blocks of a source; a source of any size has at most as many
 MAX_REPEATS = 3
 SEED = 17
@@ -169,30 +171,37 @@ def shuffled(mix: DataFrame, shards: int | None = None) -> DataFrame:
         F.xxhash64("shard", "place", "copy", "doc_id"))
 
 
+def written_mix(docs: DataFrame) -> tuple[DataFrame, Plan]:
+    """The shuffled mix with its cut texts, written to the shared folder, and its plan."""
+    mix, plan = mix_sources(docs)
+    cut = F.when(F.col("words") < F.col("size"), first_words(F.col("text"), F.col("words"))).otherwise(F.col("text"))
+    path = fresh_path(docs.sparkSession, "mix")
+    shuffled(mix.withColumn("text", cut)).drop("words").write.parquet(path)
+    return docs.sparkSession.read.parquet(path), plan
+
+
 def op4_mix_sources(docs: DataFrame) -> DataFrame:
-    """The contract's columns, one row per document.
+    """The contract's columns, one row per document; ``taken`` counts the words of the document's texts in the written mix.
 
     A document outside the mix has 0 words taken; its sizes are those of its source.
     """
-    rows = permuted(docs, "doc_id", "text", "source", SEED)
-    plan = plan_mix(rows, partitions(docs), SEED)
+    mix, plan = written_mix(docs)
+    rows = permuted(docs, "doc_id", "text", "source", SEED).select("doc_id", "source", "size", "place")
     spark = docs.sparkSession
     kind = rows.schema["source"].dataType.simpleString()
     sources = spark.createDataFrame(
         [(s, plan.sizes[s], plan.targets[s]) for s in plan.sizes], f"c_source {kind}, source_size long, target double")
-    copies: dict = {}
-    for source, block, _, wanted, _ in plan.copies:
-        whole, part = copies.get((source, block), (0, None))
-        copies[source, block] = (whole + (wanted is None), part if wanted is None else wanted)
-    taken = spark.createDataFrame([(*k, *v) for k, v in copies.items()], f"c_source {kind}, c_block int, whole int, wanted long")
-    # one row for each source, and at most SOURCE_BLOCKS for each source
-    known = rows.drop("text", "kept").join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("c_source")), "left").drop("c_source")
-    known = known.join(F.broadcast(taken), F.col("source").eqNullSafe(F.col("c_source")) & (F.col("block") == F.col("c_block")), "left")
-    before = F.coalesce(F.sum("size").over(
-        Window.partitionBy("source").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    whole = F.coalesce("whole", F.lit(0)) * F.col("size")
-    columns = ("doc_id", "size", F.coalesce("source_size", F.lit(0)).alias("source_size"),
-               F.coalesce("target", F.lit(0.0)).alias("target"))
-    cut = known.filter("wanted IS NOT NULL").select(
-        *columns, (whole + F.greatest(F.lit(0), F.least("size", F.col("wanted") - before))).alias("taken"))
-    return known.filter("wanted IS NULL").select(*columns, whole.alias("taken")).unionByName(cut)
+    # one row for each source
+    known = rows.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("c_source")), "left").drop("c_source")
+    same = ("place", "doc_id", "source", "size")  # of repeated rows
+    drawn = mix.groupBy(*same).agg(F.sum(word_count(F.col("text"))).alias("drawn")).withColumnsRenamed({c: f"d_{c}" for c in same})
+    known = known.join(drawn, [F.col(c).eqNullSafe(F.col(f"d_{c}")) for c in same], "left")
+    # repeated rows share what was drawn of them: whole passes alike, then the cut one from the first row on
+    repeats = Window.partitionBy(*same)
+    counted = known.withColumns({
+        "all": F.count("*").over(repeats) * F.col("size"), "turn": F.row_number().over(repeats.orderBy("place")) - 1})
+    rest = F.expr("drawn % all") - F.col("turn") * F.col("size")
+    taken = F.expr("drawn div all") * F.col("size") + F.greatest(F.lit(0), F.least("size", rest))
+    return counted.select(
+        "doc_id", "size", F.coalesce("source_size", F.lit(0)).alias("source_size"),
+        F.coalesce("target", F.lit(0.0)).alias("target"), F.when(F.col("drawn") > 0, taken).otherwise(0).cast("long").alias("taken"))

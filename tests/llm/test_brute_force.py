@@ -220,6 +220,27 @@ def test_mix_rows_are_the_planned_words(spark):
     assert len({(r["doc_id"], r["copy"]) for r in rows}) == len(rows) and {r["shard"] for r in rows} == {0, 1, 2, 3}
 
 
+def test_taken_words_are_those_of_the_mix(spark, monkeypatch):
+    rows = [(i % 250, " ".join(f"w{i % 250}" for _ in range(i % 250 % 7)), "abc"[i % 250 % 3]) for i in range(300)]  # 50 rows twice
+    rows += [(900, "same words again and again", "d")] * 40 + [(None, "no id", None), (None, "no id", None), (901, None, "d")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixes, shuffled = [], mixing.shuffled
+    monkeypatch.setattr(mixing, "shuffled", lambda mix, *a: mixes.append(shuffled(mix, *a)) or mixes[-1])
+    got = mixing.op4_mix_sources(frame).collect()
+    assert len(mixes) == 1 and sorted((r["doc_id"] is None, r["doc_id"]) for r in got) == sorted((i is None, i) for i, _, _ in rows)
+    drawn, taken, target = Counter(), Counter(), {}
+    for r in mixes[0].collect():
+        drawn[r["doc_id"]] += len(r["text"].split())
+    source = {i: s for i, _, s in rows}
+    for r in got:
+        taken[r["doc_id"]] += r["taken"]
+        target[source[r["doc_id"]]] = r["target"]
+        assert 0 <= r["taken"] <= 3 * r["size"]
+    assert taken == drawn
+    for s, goal in target.items():
+        assert sum(n for i, n in taken.items() if source[i] == s) == round(goal)
+
+
 # op5
 
 def test_flat_trees_walk_like_recursive_ones():
