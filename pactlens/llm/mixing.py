@@ -35,9 +35,11 @@ def word_count(text: Column) -> Column:
 def targets(sizes: dict, weights: dict, most: float = MAX_REPEATS) -> dict:
     """Words to take of each source: shares of all words by weight, none over ``most`` times its size.
 
-    What a full source can't take is shared again by weight among the others.
+    What a full source can't take is shared again by weight among the others;
+    a source without words is full from the start.
     """
-    left, open_, out = float(sum(sizes.values())), set(sizes), {}
+    left, open_ = float(sum(sizes.values())), {s for s, n in sizes.items() if n}
+    out = {s: 0.0 for s in sizes if s not in open_}
     while open_:
         total = sum(weights[s] for s in open_)
         full = {s for s in open_ if left * weights[s] / total > most * sizes[s]}
@@ -100,7 +102,7 @@ def plan_mix(rows: DataFrame, shards: int, seed: int, weights: dict | None = Non
     blocks of its permutation, the last of which is cut so that the words meet
     the target.
     """
-    sized = rows.groupBy("source", "block").agg(F.sum("size").alias("words")).filter("words > 0").collect()
+    sized = rows.groupBy("source", "block").agg(F.sum("size").alias("words")).collect()
     by_source: dict = {}
     for r in sorted(sized, key=lambda r: r["block"]):
         by_source.setdefault(r["source"], []).append((r["block"], r["words"]))
@@ -109,9 +111,10 @@ def plan_mix(rows: DataFrame, shards: int, seed: int, weights: dict | None = Non
     ordered = sorted(by_source, key=lambda s: (s is None, s or ""))
     drawn = []
     for s in ordered:
-        whole, rest = divmod(round(goal[s]), sizes[s])
-        copies = [(block, c, None) for c in range(whole) for block, _ in by_source[s]]
-        for block, words in by_source[s]:
+        blocks = [(block, words) for block, words in by_source[s] if words]  # none where a source has no words
+        whole, rest = divmod(round(goal[s]), max(1, sizes[s]))
+        copies = [(block, c, None) for c in range(whole) for block, _ in blocks]
+        for block, words in blocks:
             if rest > 0:
                 copies.append((block, whole, None if words <= rest else rest))
                 rest -= words

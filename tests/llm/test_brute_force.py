@@ -241,6 +241,21 @@ def test_taken_words_are_those_of_the_mix(spark, monkeypatch):
         assert sum(n for i, n in taken.items() if source[i] == s) == round(goal)
 
 
+def test_sources_without_words_keep_their_place_in_the_weights(spark):
+    rows = [(i, "one two three four five six seven eight nine ten", "bcd"[i % 3]) for i in range(300)]
+    rows += [(1000, None, "a"), (1001, "", "a"), (1002, " \t\n", "a"), (1003, "", "e")]
+    got = mixing.op4_mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    sizes, source, taken = {"a": 0, "b": 1000, "c": 1000, "d": 1000, "e": 0}, {i: s for i, _, s in rows}, Counter()
+    want = {"a": 0, "b": 750, "c": 375, "d": 1875, "e": 0}  # weights 2, 1, 5 of b, c, d
+    for r in got:
+        assert math.isclose(r["target"], want[source[r["doc_id"]]]) and r["source_size"] == sizes[source[r["doc_id"]]]
+        taken[source[r["doc_id"]]] += r["taken"]
+    assert len(got) == len(rows) and taken == Counter(want)
+    blank = spark.createDataFrame(rows[-4:], "doc_id long, text string, source string")
+    assert {(r["target"], r["taken"]) for r in mixing.op4_mix_sources(blank).collect()} == {(0.0, 0)}
+    assert mixing.targets({"a": 0, "b": 4}, {"b": 1.0}) == {"a": 0.0, "b": 4.0}
+
+
 # op5
 
 def test_flat_trees_walk_like_recursive_ones():
