@@ -168,22 +168,21 @@ def predict(model: Model, points: np.ndarray, offsets: np.ndarray) -> tuple[list
 
 
 def sample(docs: DataFrame, learnable: Column, text_col: str = "text", lang_col: str = "lang") -> dict:
-    """language -> texts: at most ``SAMPLE_TEXTS`` distinct ones a language, chosen by a hash of the text."""
-    rows = docs.filter(learnable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(text_col)).alias("place"))
-    counts = {r["lang"]: r["count"] for r in docs.filter(learnable & F.col(lang_col).isNotNull()).groupBy(
-        F.col(lang_col).alias("lang")).count().collect()}
-    if not counts:
-        return {}
-    # a share of each language that gives a few times as many texts as are wanted
-    shares = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 8 * SAMPLE_TEXTS / n)))])
-    few = rows.filter(F.pmod("place", F.lit(1 << 30)) < shares[F.col("lang")] * (1 << 30))
-    few = few.groupBy("lang", "place").agg(F.min(F.left("text", F.lit(SAMPLE_CHARS))).alias("text"))
-    order = Window.partitionBy("lang").orderBy("place")
-    chosen = few.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= SAMPLE_TEXTS)
+    """language -> texts: at most ``SAMPLE_TEXTS`` distinct ones a language, those of the smallest hashes.
+
+    Every language with a text that has a letter within the part that is read has a sample.
+    """
     each = SAMPLE_CHARS * 4 // SAMPLE_TEXTS
+    rows = docs.filter(learnable & F.col(lang_col).isNotNull()).select(
+        F.left(F.col(text_col), F.lit(each)).alias("text"), F.col(lang_col).alias("lang"),
+        F.xxhash64(F.col(text_col)).alias("place")).filter(F.col("text").rlike(r"\p{L}"))
+    # copies count once; the limit applies before the shuffle by language
+    order = Window.partitionBy("lang").orderBy("place")
+    chosen = rows.select("lang", "place").distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= SAMPLE_TEXTS)
+    # at most SAMPLE_TEXTS rows a language
+    texts = rows.join(F.broadcast(chosen), ["lang", "place"]).groupBy("lang", "rank").agg(F.min("text").alias("text"))
     out: dict = {}
-    for r in chosen.select("lang", "rank", F.left("text", F.lit(each)).alias("text")).orderBy("lang", "rank").collect():
+    for r in texts.orderBy("lang", "rank").collect():
         out.setdefault(r["lang"], []).append(r["text"])
     return out
 

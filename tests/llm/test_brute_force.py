@@ -87,6 +87,17 @@ def test_languages_of_held_out_documents(spark):
     assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in held]) >= 0.97
 
 
+def test_every_language_with_a_text_is_sampled(spark):
+    hot = spark.range(100000).selectExpr("'same text in all of these rows' AS text", "'hot' AS lang")
+    few = [(f"text number {w}", "hot") for w in ("one", "two", "three")] + [(f"{i} ...", "odd") for i in range(200)] + [("a word", "odd"), (None, "odd"), ("??", "none")]
+    few += [(f"word{i} " * 9, "many") for i in range(300)]
+    frame = hot.union(spark.createDataFrame(few, "text string, lang string"))
+    found = language_id.sample(frame, language_id.F.lit(True))
+    assert sorted(found) == ["hot", "many", "odd"] and found["odd"] == ["a word"]
+    assert sorted(found["hot"]) == sorted({"same text in all of these rows", *(t for t, k in few if k == "hot")})
+    assert len(set(found["many"])) == len(found["many"]) == language_id.SAMPLE_TEXTS
+
+
 # op2
 
 def test_collision_rate_is_generalised_jaccard():
