@@ -6,11 +6,8 @@ common table expression for the reference engine.
 
 from __future__ import annotations
 
-import zipfile
 from collections.abc import Callable
-from pathlib import Path
 
-import pyspark
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -127,11 +124,19 @@ PHRASES = (
 )
 
 
-def english_stop_words() -> list[str]:
-    """The English stop words inside Spark's own jar, for SQL that is made before any session."""
-    (jar,) = (Path(pyspark.__file__).parent / "jars").glob("spark-mllib_*.jar")
-    with zipfile.ZipFile(jar) as packed:
-        return packed.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split()
+# fixed values: the English stop words of Spark's StopWordsRemover, for SQL that is made before any session
+ENGLISH_STOP_WORDS = """
+    i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers
+    herself it its itself they them their theirs themselves what which who whom this that these those am is
+    are was were be been being have has had having do does did doing a an the and but if or because as until
+    while of at by for with about against between into through during before after above below to from up down
+    in out on off over under again further then once here there when where why how all any both each few more
+    most other some such no nor not only own same so than too very s t can will just don should now i'll
+    you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd they'd i'm you're he's she's it's we're
+    they're i've we've you've they've isn't aren't wasn't weren't haven't hasn't hadn't don't doesn't didn't
+    won't wouldn't shan't shouldn't mustn't can't couldn't cannot could here's how's let's ought that's
+    there's what's when's where's who's why's would
+""".split()
 
 
 def quoted(value: str) -> str:
