@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pactlens.llm import fingerprints, language_id, line_spread, mixing, near_duplicates, packing, personal_data, quality, secrets, vector_search
+from pactlens.llm import fingerprints, language_id, line_spread, mixing, near_duplicates, packing, personal_data, quality, secrets, substring_dedup, vector_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +60,4 @@ query("op7_vector_search", vector_search.op7_vector_search, "embeddings", sql=TO
 query("op8_secrets", secrets.op8_secrets)
 query("op9_packing", packing.op9_packing)
 query("op10_line_spread", line_spread.op10_line_spread, sql=LINES_SQL)
+query("op11_substring_dedup", substring_dedup.op11_substring_dedup)
