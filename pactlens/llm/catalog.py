@@ -42,7 +42,7 @@ LINES_SQL = """WITH l AS (
       generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
   b AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS bare FROM l),
   c AS (
-    SELECT bare, min(doc_id) AS keeper FROM b WHERE length(bare) >= 24 GROUP BY bare
+    SELECT bare, min(doc_id) AS keeper FROM b WHERE bare <> '' GROUP BY bare
     HAVING count(DISTINCT coalesce(source, '')) >= 4),
   m AS (SELECT b.*, coalesce(b.doc_id <> c.keeper, false) AS gone FROM b LEFT JOIN c USING (bare)),
   d AS (

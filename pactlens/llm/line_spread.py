@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MIN_SITES = 4  # sites from which on a line is boilerplate
-MIN_CHARS = 24  # shorter lines are no boilerplate, as they meet by chance
 RELATIVE_ERROR = 0.1  # standard error of the sketches
+SALTS = 8  # parts into which the documents that hold a line are dealt
 BAND = 4.0  # an estimate within so many standard errors of the threshold is counted exactly
 
 
@@ -21,9 +21,9 @@ def lines_of(text: Column) -> Column:
 
 
 def line_key(line: Column) -> Column:
-    """Hash of the line without surrounding blanks; null for lines that are never boilerplate."""
+    """Hash of the line without surrounding blanks; null for blank lines."""
     bare = F.btrim(line, F.lit(" \t\r"))
-    return F.when(F.length(bare) >= MIN_CHARS, F.xxhash64(bare))
+    return F.when(bare != "", F.xxhash64(bare))
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -41,9 +41,9 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     near = F.col("sites").between(min_sites - margin - 1, min_sites + margin + 1)
     sure = sketched.filter(~near & (F.col("sites") > min_sites))
     asked = sketched.filter(near)
-    pairs = lines.select("key", site.alias("site")).join(asked.select("key", "keeper"), "key")
-    exact = pairs.groupBy("key", "keeper", "site").agg(F.count("*").alias("n")).groupBy("key", "keeper").agg(
-        F.count("*").alias("sites")).filter(F.col("sites") >= min_sites)
+    # a line is one row for each of its sites here, however many documents hold it
+    pairs = lines.groupBy("key", site.alias("site")).agg(F.count("*").alias("n")).join(asked.select("key", "keeper"), "key")
+    exact = pairs.groupBy("key", "keeper").agg(F.count("*").alias("sites")).filter(F.col("sites") >= min_sites)
     return sure.select("key", "keeper").unionByName(exact.select("key", "keeper"))
 
 
@@ -52,7 +52,8 @@ def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(doc_id, text, cleaned, n_lines, n_removed), one row for each row of ``docs``; ``keep`` names columns to carry along.
 
     Boilerplate lines go from every document but the one with the smallest id
-    that has them, so no line leaves the corpus. Documents are matched by id
+    that has them, so no line leaves the corpus. Any line counts that is not
+    blank, however short: only its sites decide. Documents are matched by id
     and a hash of the text: repeated rows are cleaned alike. Null ids keep
     their lines, a null text stays null, other columns are left out, and an
     empty table gives an empty result.
@@ -62,7 +63,10 @@ def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     keys = F.array_distinct(F.filter(F.transform(lines_of(F.col("text")), line_key), lambda k: k.isNotNull()))
     lines = rows.filter("text IS NOT NULL").select("doc_id", "text_key", "site", F.explode(keys).alias("key"))
     common = boilerplate(lines, min_sites)
-    hits = lines.join(common, "key").filter("doc_id <> keeper").groupBy("doc_id", "text_key").agg(
+    # a common line meets its documents in several parts, so that no task gets all of them
+    parts = common.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = lines.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(SALTS)).cast("int"))
+    hits = dealt.join(parts, ["key", "part"]).filter("doc_id <> keeper").groupBy("doc_id", "text_key").agg(
         F.collect_set("key").alias("gone"))
     known = rows.join(hits, ["doc_id", "text_key"], "left")
     return known.select(
