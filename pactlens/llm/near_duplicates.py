@@ -234,12 +234,11 @@ def links_of(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, text_key, class_id, class_size, n_links, keeper), one row for each row of ``docs``.
+    """(doc_id, text_key, class_id, class_size, keeper), one row for each row of ``docs``.
 
     A class holds the rows that links of at least ``threshold`` join; its id is
     its smallest document id, which is null only if no member has one.
-    ``n_links`` counts the verified links of the row's text. ``keeper`` marks
-    the row that stays: the smallest id, then the smallest text hash, for
+    ``keeper`` marks the row that stays: the smallest id, then the smallest text hash, for
     repeated rows all of them. Texts with fewer than five words are one
     shingle; null texts count as empty; texts without words are copies where
     they are equal; other columns are left out; an empty table gives an empty
@@ -248,16 +247,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = sketched(docs, id_col, text_col)
     links = cut_lineage(links_of(rows, threshold))
     labels = components(links)
-    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     nodes = cut_lineage(rows.groupBy("node").agg(F.min(first).alias("first"), F.count("*").alias("copies")))
-    known = cut_lineage(nodes.join(labels, "node", "left").join(degree, "node", "left").select(
-        "node", "first", "copies", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    known = cut_lineage(nodes.join(labels, "node", "left").select(
+        "node", "first", "copies", F.coalesce("label", "node").alias("label")))
     classes = cut_lineage(known.groupBy("label").agg(F.min("first").alias("best"), F.sum("copies").alias("class_size")))
-    of_node = cut_lineage(known.join(classes, "label").select("node", "best", "class_size", "n_links"))
+    of_node = cut_lineage(known.join(classes, "label").select("node", "best", "class_size"))
     out = rows.select("doc_id", "text_key", "node").join(of_node, "node")
     return out.select(
-        "doc_id", "text_key", F.col("best.doc_id").alias("class_id"), "class_size", "n_links",
+        "doc_id", "text_key", F.col("best.doc_id").alias("class_id"), "class_size",
         (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key"))).alias("keeper"))
 
 
@@ -270,5 +268,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
 
 
 def op3_near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, class_size and n_links, one row per document."""
-    return near_duplicates(docs).select("doc_id", "class_id", "class_size", "n_links")
+    """doc_id, class_id and class_size, one row per document."""
+    return near_duplicates(docs).select("doc_id", "class_id", "class_size")
