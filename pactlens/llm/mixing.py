@@ -17,9 +17,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pactlens.session import fresh_path
+from pactlens.session import cut_lineage, fresh_path
 
 SOURCE_BLOCKS = 1024  # blocks of a source; a source of any size has at most as many
+FINE_BLOCKS = 1024  # parts of a block, in one of which the last document of a source is cut
 MAX_REPEATS = 3
 SEED = 17
 CYCLE = (5.0, 2.0, 1.0)  # weights of the sources in code-point order, repeating
@@ -82,17 +83,19 @@ class Plan:
 
     sizes: dict
     targets: dict
-    copies: list  # (source, block, copy, words wanted of the block or None for all, shard)
+    copies: list  # (source, block, copy, fine block of the cut, words wanted of that, shard); no cut where all of the block is taken
 
 
 def permuted(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, keep: tuple = ()) -> DataFrame:
-    """(doc_id, text, source, size, place, block, kept): the row's place in its source's permutation and its block."""
+    """(doc_id, text, source, size, place, fine, block, kept): the row's place in its source's permutation and its blocks."""
     place = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"),
                        word_count(F.col(text_col)).alias("size"), place.alias("place"),
                        F.struct(F.lit(0), *keep).alias("kept"))
-    # the upper bits of the place: blocks are runs of the permutation
-    return rows.withColumn("block", F.shiftrightunsigned("place", 64 - SOURCE_BLOCKS.bit_length() + 1).cast("int"))
+    # the upper bits of the place: blocks are runs of the permutation, and fine blocks are runs of a block
+    bits = (SOURCE_BLOCKS * FINE_BLOCKS).bit_length() - 1
+    return rows.withColumn("fine", F.shiftrightunsigned("place", 64 - bits).cast("int")).withColumn(
+        "block", F.floor(F.col("fine") / FINE_BLOCKS).cast("int"))
 
 
 def plan_mix(rows: DataFrame, shards: int, seed: int, weights: dict | None = None) -> Plan:
@@ -100,36 +103,60 @@ def plan_mix(rows: DataFrame, shards: int, seed: int, weights: dict | None = Non
 
     A source's whole passes come first; the rest of its target is the first
     blocks of its permutation, the last of which is cut so that the words meet
-    the target.
+    the target. The cut is found from the sizes of that block's fine blocks
+    (``FINE_BLOCKS`` numbers a source at most).
     """
-    sized = rows.groupBy("source", "block").agg(F.sum("size").alias("words")).collect()
+    fine = cut_lineage(rows.groupBy("source", "block", "fine").agg(F.sum("size").alias("words")))
+    sized = fine.groupBy("source", "block").agg(F.sum("words").alias("words")).collect()
     by_source: dict = {}
     for r in sorted(sized, key=lambda r: r["block"]):
         by_source.setdefault(r["source"], []).append((r["block"], r["words"]))
     sizes = {s: sum(w for _, w in blocks) for s, blocks in by_source.items()}
     goal = targets(sizes, weights or cycled(sizes))
     ordered = sorted(by_source, key=lambda s: (s is None, s or ""))
-    drawn = []
+    drawn, cuts = [], {}
     for s in ordered:
         blocks = [(block, words) for block, words in by_source[s] if words]  # none where a source has no words
         whole, rest = divmod(round(goal[s]), max(1, sizes[s]))
-        copies = [(block, c, None) for c in range(whole) for block, _ in blocks]
+        copies = [(block, c) for c in range(whole) for block, _ in blocks]
         for block, words in blocks:
             if rest > 0:
-                copies.append((block, whole, None if words <= rest else rest))
+                copies.append((block, whole))
+                if words > rest:
+                    cuts[s] = (block, whole, rest)
                 rest -= words
         drawn.append(copies)
+    places = cut_places(fine, cuts)
     rng = np.random.default_rng(seed)
     dealt = split_quotas(np.array([len(d) for d in drawn], np.int64), shards, rng) if ordered else []
     copies = []
     for i, s in enumerate(ordered):
         order, at = rng.permutation(len(drawn[i])), 0
         for shard, count in enumerate(dealt[:, i].tolist()):
-            copies += [(s, *drawn[i][k], shard) for k in order[at:at + count].tolist()]
+            for block, copy in (drawn[i][k] for k in order[at:at + count].tolist()):
+                cut = places[s] if s in cuts and cuts[s][:2] == (block, copy) else (None, None)
+                copies.append((s, block, copy, *cut, shard))
             at += count
     return Plan(sizes, goal, copies)
 
 
+def cut_places(fine: DataFrame, cuts: dict) -> dict:
+    """(fine block, words wanted of it) of each source in ``cuts``, whose values are (block, copy, words wanted of the block)."""
+    if not cuts:
+        return {}
+    kind = fine.schema["source"].dataType.simpleString()
+    asked = fine.sparkSession.createDataFrame([(s, block) for s, (block, _, _) in cuts.items()], f"c_source {kind}, c_block int")
+    # one row for each source
+    found = fine.join(F.broadcast(asked), F.col("source").eqNullSafe(F.col("c_source")) & (F.col("block") == F.col("c_block"))).select(
+        "source", "fine", "words").collect()
+    places = {}
+    for r in sorted(found, key=lambda r: r["fine"]):
+        left = cuts[r["source"]][2] if r["source"] not in places else places[r["source"]][2]
+        if left > 0:
+            places[r["source"]] = (r["fine"], left, left - r["words"])
+    return {s: place[:2] for s, place in places.items()}
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                 shards: int | None = None, seed: int = SEED, weights: dict | None = None, keep: tuple = ()) -> tuple[DataFrame, Plan]:
     """The mix and its plan. The mix has (doc_id, text, source, size, copy, words, shard, place) and the columns in ``keep``.
@@ -146,13 +173,14 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     plan = plan_mix(rows, shards or partitions(docs), seed, weights)
     spark = docs.sparkSession
     kind = rows.schema["source"].dataType.simpleString()
-    copies = spark.createDataFrame(plan.copies, f"c_source {kind}, c_block int, copy int, wanted long, shard int")
+    copies = spark.createDataFrame(plan.copies, f"c_source {kind}, c_block int, copy int, cut int, wanted long, shard int")
     # at most SOURCE_BLOCKS * MAX_REPEATS rows a source
     near = rows.filter("size > 0").join(F.broadcast(copies), F.col("source").eqNullSafe(F.col("c_source")) & (F.col("block") == F.col("c_block")))
-    full = near.filter("wanted IS NULL").withColumn("words", F.col("size"))
+    full = near.filter("cut IS NULL OR fine < cut").withColumn("words", F.col("size"))
     before = F.coalesce(F.sum("size").over(
         Window.partitionBy("source").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = near.filter("wanted IS NOT NULL").withColumn(
+    # one fine block of each source
+    cut = near.filter("fine = cut").withColumn(
         "words", F.greatest(F.lit(0), F.least("size", F.col("wanted") - before))).filter("words > 0")
     columns = ("doc_id", "text", "source", "size", "copy", "words", "shard", "place", *[F.col("kept")[c].alias(c) for c in keep])
     return full.select(*columns).unionByName(cut.select(*columns)), plan
@@ -160,7 +188,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def first_words(text: Column, words: Column) -> Column:
     """The text up to the end of its ``words``-th word."""
-    bare = F.split(F.ltrim(text), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    bare = F.split(F.ltrim(text, F.lit(" \t\n\x0b\f\r")), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     return F.array_join(F.slice(bare, 1, words.cast("int")), "")
 
 
