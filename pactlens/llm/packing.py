@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pactlens.functions.text import bind
 from pactlens.llm.mixing import word_count
 
 MAX_LENGTH = 2048  # words of a piece; longer documents are cut into several
@@ -60,15 +61,17 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, max_length: int, keep_te
     """(doc_id, piece, first_word, length[, text]): every document cut into pieces of ``max_length`` words at most."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), word_count(F.col(text_col)).alias("n"))
     spans = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / max_length).cast("int") - 1))
-    out = rows.select("doc_id", "text", "n", F.explode(spans).alias("piece"))
-    first = F.col("piece").cast("long") * max_length
-    columns = ["doc_id", "piece", first.alias("first_word"), F.least(F.lit(max_length), F.col("n") - first).cast("int").alias("length")]
     if keep_text:
         whole = F.coalesce("text", F.lit(""))
         words = F.split(F.btrim(whole, F.lit(" \t\n\x0b\f\r")), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
-        columns.append(F.when(F.col("n") <= max_length, whole).otherwise(
-            F.array_join(F.slice(words, first.cast("int") + 1, F.lit(max_length)), "")).alias("text"))
-    return out.select(*columns)
+        # a text is split once, and its pieces are slices of that
+        cut = bind(words, lambda w: F.transform(spans, lambda i: F.array_join(F.slice(w, i * max_length + 1, F.lit(max_length)), "")))
+        out = rows.select("doc_id", "n", F.posexplode(F.when(F.col("n") <= max_length, F.array(whole)).otherwise(cut)).alias("piece", "text"))
+    else:
+        out = rows.select("doc_id", "n", F.explode(spans).alias("piece"))
+    first = F.col("piece").cast("long") * max_length
+    columns = ["doc_id", "piece", first.alias("first_word"), F.least(F.lit(max_length), F.col("n") - first).cast("int").alias("length")]
+    return out.select(*columns, *(["text"] if keep_text else []))
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_length: int = MAX_LENGTH,
