@@ -119,7 +119,7 @@ def audit(counts: dict[int, tuple[int, int, int]], letters: str = LETTERS) -> li
     ``counts`` holds (documents, good ones, toxic ones) of every failure mask.
     """
     n = len(letters)
-    diagram = Diagram(counts, n)
+    diagram = Diagram({0: (0, 0, 0)} | counts, n)
     failing = [sum(c[0] for m, c in counts.items() if m >> v & 1) for v in range(n)]
     rows, shapley, unique = [], defaultdict(int), [0] * n
     for swap in (None, *adjacent_swaps(n)):
