@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,11 +81,14 @@ def split_cached(
 
 
 def with_cache_flag(clauses: DataFrame, stored: DataFrame, keys=TABLE_KEYS) -> DataFrame:
-    """Both sides of :func:`split_cached` from one join, as a boolean column."""
+    """Both sides of :func:`split_cached` from one existence join, as a boolean column.
+
+    Repeated rows of the store neither multiply clauses nor need a pass of their own.
+    """
     on = [*keys, "content_hash"]
-    known = stored.filter(F.col("content_hash").isNotNull()).select(*on).distinct().withColumn("_hit", F.lit(True))
-    return clauses.join(known, on, "left").select(
-        *clauses.columns, F.coalesce("_hit", F.lit(False)).alias("is_cached"))
+    known = stored.select(*on).alias("stored")
+    same = [F.col(f"stored.{c}") == F.col(f"clauses.{c}").outer() for c in on]
+    return clauses.alias("clauses").select("*", known.where(reduce(and_, same)).exists().alias("is_cached"))
 
 
 ANSWER_SCHEMA = (

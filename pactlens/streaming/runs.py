@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -35,7 +35,7 @@ def run_progress(outcomes: DataFrame, delay: str = "1 hour", width: str = "1 day
 
 def total_progress(stored: DataFrame) -> DataFrame:
     """Newest counts of every window of a run, added up."""
-    newest = last_write(stored.drop("run", "batch"), ("run_id", "since"), "version")
+    newest = last_write(stored, ("run_id", "since"), "version")
     return newest.groupBy("run_id").agg(*[F.sum(c).alias(c) for c in ("done", "succeeded", "failed")])
 
 
@@ -47,15 +47,23 @@ def with_status(progress: DataFrame, totals: DataFrame) -> DataFrame:
         .otherwise("failed"))
 
 
+def progress_store(spark: SparkSession, folder: str) -> commits.Store:
+    return commits.Store(spark, folder, PROGRESS_SCHEMA, "run_id")
+
+
+def stored_progress(spark: SparkSession, folder: str) -> DataFrame:
+    """All committed counts of every run and window, for ``total_progress``."""
+    return progress_store(spark, folder).read()
+
+
 def store_updates(updates: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Commit every micro-batch of changed rows (see ``commits``)."""
     run = commits.run_name(checkpoint)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in updates.schema)
-    commits.open_folder(updates.sparkSession, folder, schema)
+    store = progress_store(updates.sparkSession, folder).create()
 
     def write(df: DataFrame, batch_id: int) -> None:
-        earlier = commits.others(commits.committed(df.sparkSession, folder, schema), run, batch_id)
-        commits.commit(df, earlier, folder, run, batch_id)
+        if not store.has(run, batch_id):
+            store.commit(df, run, batch_id)
 
     return (
         updates.writeStream.outputMode("update").option("checkpointLocation", checkpoint)

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pactlens.functions import scoring
 from pactlens.plans import analyze
 from pactlens.sources.pages import clauses_of
-from pactlens.sources.stores import last_write, with_cache_flag
+from pactlens.sources.stores import last_write
 from pactlens.streaming import commits
 
 KEY = ("doc_id", "clause_index")
@@ -20,37 +20,64 @@ STORE_SCHEMA = (
 COLUMNS = [part.split()[0] for part in STORE_SCHEMA.split(", ")]
 
 
+def score_store(spark: SparkSession, folder: str) -> commits.Store:
+    return commits.Store(spark, folder, STORE_SCHEMA, "doc_id")
+
+
 def open_store(spark: SparkSession, folder: str) -> None:
     """Make sure the store exists, so that reading it never depends on the first batch."""
-    commits.open_folder(spark, folder, STORE_SCHEMA)
+    score_store(spark, folder).create()
 
 
 def all_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Every stored row with its commit."""
-    return commits.committed(spark, folder, STORE_SCHEMA)
+    """Every stored row with its version."""
+    return score_store(spark, folder).read()
 
 
-def stored_scores(spark: SparkSession, folder: str) -> DataFrame:
+def newest_scores(rows: DataFrame) -> DataFrame:
     """Newest good row per clause; the newest failed one only where none is good."""
-    rows = all_scores(spark, folder).withColumn("_order", F.struct(F.col("error").isNull().alias("good"), "version"))
-    return last_write(rows, KEY, "_order").drop("run", "batch")
+    return last_write(rows.withColumn("_order", F.struct(F.col("error").isNull().alias("good"), "version")), KEY, "_order").drop("_order")
+
+
+def stored_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return newest_scores(all_scores(spark, folder))
+
+
+def compact_scores(spark: SparkSession, folder: str) -> None:
+    """Keep one row per clause, in one commit; for the time between two runs of a stream."""
+    store = score_store(spark, folder)
+    store.compact(newest_scores)
+    store.drop_old_generations()
+
+
+def open_clauses(store: commits.Store, batch: DataFrame, fingerprint: str) -> DataFrame:
+    """Clauses of ``batch`` whose newest good row has another content hash, or that have none.
+
+    Only the buckets of the batch's documents are read.
+    """
+    hashed = clauses_of(batch).withColumn("content_hash", scoring.content_hash(F.col("raw_text"), fingerprint))
+    good = store.read(store.asked(batch)).filter(F.col("error").isNull())
+    known = good.groupBy(*KEY).agg(F.max_by("content_hash", "version").alias("content_hash"))
+    return hashed.join(known, [*KEY, "content_hash"], "left_anti")
+
+
+def dealt_out(batch: DataFrame) -> DataFrame:
+    """The batch in at least as many partitions as there are cores, as its few files are small but long to score."""
+    cores = batch.sparkSession.sparkContext.defaultParallelism
+    return batch if batch.rdd.getNumPartitions() >= cores else batch.repartition(cores)
 
 
 def score_batch(
     batch: DataFrame, batch_id: int, folder: str, run: str, fingerprint: str,
     scorer: analyze.Scorer | None = None,
 ) -> None:
-    """Score the clauses of one micro-batch whose content hash no other commit has."""
-    hashed = clauses_of(batch).withColumn(
-        "content_hash", scoring.content_hash(F.col("raw_text"), fingerprint))
-    earlier = commits.others(all_scores(batch.sparkSession, folder), run, batch_id)
-    good = earlier.filter(F.col("error").isNull()).select(*KEY, "content_hash", "version")
-    # only the documents of this batch are looked up
-    asked = good.join(batch.select("doc_id").distinct(), "doc_id", "left_semi")
-    known = last_write(asked, KEY, "version")
-    fresh = with_cache_flag(hashed, known, KEY).filter("NOT is_cached").drop("is_cached")
+    """Score the clauses of one micro-batch that the store doesn't have; a committed batch is left alone."""
+    store = score_store(batch.sparkSession, folder)
+    if store.has(run, batch_id):
+        return
+    fresh = open_clauses(store, dealt_out(batch), fingerprint)
     scored = analyze.finalize(analyze.score_clauses(analyze.classify_clauses(fresh), scorer))
-    commits.commit(scored.select(*COLUMNS), earlier, folder, run, batch_id)
+    store.commit(scored.select(*COLUMNS), run, batch_id)
 
 
 def start_scoring(

@@ -6,7 +6,7 @@ from pactlens.functions import scoring as S
 from pactlens.operators import runs as R
 from pactlens.plans import analyze as A
 from pactlens.session import fresh_path
-from pactlens.streaming import admission, commits, runs as SR, scoring as SS
+from pactlens.streaming import admission, runs as SR, scoring as SS
 from registry.base import D, F, HYBRID_SQL, LEVEL_SQL, Tables, query, quoted, with_ctes
 from registry.documents import _DOC_CTES
 from registry.relations import _OUTCOME_SQL
@@ -33,7 +33,7 @@ def stream_of(t: Tables, name: str, order: str = "ts", batches: int = BATCHES):
         if low is not None:
             part = part.filter(place > low)
         if high is not None:
-            part = part.filter(place <= high)
+            part = part.filter((place <= high) if low is not None else (place <= high) | place.isNull())
         part.write.mode("append").parquet(folder)
     return t.spark.readStream.schema(static.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
@@ -73,7 +73,7 @@ def t2(t: Tables):
         F.when(F.col("event_type") == "error", "Timeout").when(F.col("user_id") % 9 == 0, "No result").alias("error"))
     folder = fresh_path(t.spark, "progress")
     SR.store_updates(SR.run_progress(events), folder, fresh_path(t.spark, "progress-cp")).awaitTermination()
-    progress = SR.total_progress(commits.committed(t.spark, folder, SR.PROGRESS_SCHEMA))
+    progress = SR.total_progress(SR.stored_progress(t.spark, folder))
     totals = t.events.groupBy(F.col("user_id").alias("run_id")).agg(F.count("*").alias("n")).select(
         "run_id", (F.col("n") + F.col("run_id") % 2).alias("clause_count"))
     return SR.with_status(progress, totals).select("run_id", "done", "succeeded", "failed", "status")

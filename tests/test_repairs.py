@@ -121,12 +121,11 @@ def test_two_streams_share_a_store(spark, tmp_path):
 
 
 def test_a_failed_score_does_not_hide_a_good_one(spark, tmp_path):
-    from pactlens.streaming import commits
     folder = f"{tmp_path}/store"
     SS.open_store(spark, folder)
     for version, error in ((1, None), (2, "Timeout")):
         row = spark.createDataFrame([(1, 1, "h", "ip", 0.5, 0.5, 1, "low", "s", 0, error)], SS.STORE_SCHEMA)
-        commits.commit(row, SS.all_scores(spark, folder), folder, "r", version)
+        SS.score_store(spark, folder).commit(row, "r", version)
     assert [(r["error"], r["version"]) for r in SS.stored_scores(spark, folder).collect()] == [(None, 1)]
 
 
