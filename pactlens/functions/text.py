@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pactlens.domain import SHINGLE_WORDS
 
@@ -102,12 +105,38 @@ def is_heading_line(text: Column, size: Column, all_bold: Column, body_size: Col
     )
 
 
+# noncharacters, which mark the seams between pieces and the ends of groups
+_SEAM, _END = "\ufdd0", "\ufdd1"
+_LOOSE = WS.replace("]", _SEAM + "]")
+# the shortest run of whole pieces whose joined and stripped text is long enough
+_GROUP = (rf"\G{_LOOSE}*+{_LOOSE.replace('[', '[^', 1)}[\s\S]{{{MIN_FRAGMENT_CHARS - 2},}}?{_LOOSE.replace('[', '[^', 1)}"
+          rf"{WS}*+(?={_SEAM}|\z)")
+
+
 def fold_fragments(parts: Column) -> Column:
     """Join pieces that are too short to stand alone with the piece that follows.
 
-    A trailing short piece joins the one before it. The fold only runs for
-    documents that hold a short piece.
+    A trailing short piece joins the one before it. The pieces are joined once
+    and one pattern finds where each group of them closes, in a single pass and
+    without a copy per piece. Only documents that hold a short piece are
+    searched, and only those that hold the marks themselves are folded.
     """
+    def groups(joined: Column) -> Column:
+        marked = F.split(F.regexp_replace(joined, f"({_GROUP})", f"$1{_END}"), _END)
+        return bind(marked, lambda found: F.when(F.size(found) < 2, found).otherwise(F.concat(
+            F.slice(found, F.lit(1), F.size(found) - 2),
+            F.array(F.concat(F.element_at(found, -2), F.element_at(found, -1))))))
+
+    def fold(joined: Column) -> Column:
+        return F.when(joined.rlike(f"[{_SEAM}{_END}]"), _fold_by_steps(parts)).otherwise(
+            F.transform(groups(F.array_join(parts, _SEAM)), lambda part: F.replace(part, F.lit(_SEAM), F.lit("\n"))))
+
+    short = F.exists(parts, lambda part: F.length(strip(part)) < MIN_FRAGMENT_CHARS)
+    return F.when(short, _stripped_parts(fold(F.array_join(parts, "")))).otherwise(_stripped_parts(parts))
+
+
+def _fold_by_steps(parts: Column) -> Column:
+    """The same piece by piece, for texts that hold the marks."""
     is_short = lambda part: F.length(strip(part)) < MIN_FRAGMENT_CHARS
     start = F.struct(
         F.array().cast("array<string>").alias("done"),
@@ -132,9 +161,7 @@ def fold_fragments(parts: Column) -> Column:
             .otherwise(F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(last)))
         )
 
-    folded = F.aggregate(parts, start, step, finish)
-    return F.when(F.exists(parts, is_short), _stripped_parts(folded)).otherwise(
-        _stripped_parts(parts))
+    return F.aggregate(parts, start, step, finish)
 
 
 def segment_text(col: Column, layout_segments: Column | None = None) -> Column:
@@ -167,43 +194,78 @@ def coverage_ratio(col: Column, parts: Column) -> Column:
     return F.when(source == 0, F.lit(1.0)).otherwise(kept / source)
 
 
+def search_parts(text: str | None, needles: list | None) -> dict | None:
+    """``locate_parts`` of one text, whose parts are normalised already."""
+    if text is None or needles is None:
+        return None
+    offsets, cursor = [], 0
+    for position, needle in enumerate(needles):
+        if needle:
+            at = text.find(needle, cursor)
+            if at < 0:
+                return {"offsets": offsets, "missing": position}
+            offsets.append(at)
+            cursor = at + len(needle)
+    return {"offsets": offsets, "missing": None}
+
+
+LOCATED = ST.StructType([ST.StructField("offsets", ST.ArrayType(ST.IntegerType())), ST.StructField("missing", ST.IntegerType())])
+
+
+@F.arrow_udf(returnType=LOCATED)
+def _located(texts: pa.Array, parts: pa.Array) -> pa.Array:
+    return pa.array(map(search_parts, texts.to_pylist(), parts.to_pylist()), to_arrow_type(LOCATED))
+
+
+# so that no filter is pushed below the search, which would run it twice
+_searched = _located.asNondeterministic()
+
+
 def locate_parts(text: Column, parts: Column) -> Column:
     """Offsets (0-based) of ordered parts in ``text``, searched with a moving cursor.
 
     Returns ``struct<offsets array<int>, missing int>``; ``missing`` is the
     0-based position of the first part that cannot be found, NULL if all are.
+    A cursor that walks through one text is no expression, and every search
+    from a place inside a text would walk there from the text's beginning, so
+    the walk is done for the texts of an Arrow batch; not to be used in lambdas.
     """
-    start = F.struct(
-        F.lit(0).alias("cursor"),
-        F.lit(0).alias("position"),
-        F.array().cast("array<int>").alias("offsets"),
-        F.lit(None).cast("int").alias("missing"),
-    )
+    return _searched(text, F.transform(parts, normalise_whitespace))
 
-    def advance(state: Column, needle: Column, at: Column) -> Column:
-        skip = (needle == "") | state["missing"].isNotNull()
-        found = ~skip & (at >= 0)
-        return F.struct(
-            F.when(found, at + F.length(needle)).otherwise(state["cursor"]).alias("cursor"),
-            (state["position"] + 1).alias("position"),
-            F.when(found, F.concat(state["offsets"], F.array(at)))
-            .otherwise(state["offsets"]).alias("offsets"),
-            F.when(skip, state["missing"])
-            .when(at < 0, state["position"]).alias("missing"),
-        )
 
-    def walk(whole: Column) -> Column:
-        return F.aggregate(
-            F.transform(parts, normalise_whitespace), start,
-            lambda state, needle: bind(
-                F.position(needle, whole, state["cursor"] + 1) - 1,
-                lambda at: advance(state, needle, at)),
-            lambda state: F.struct(state["offsets"], state["missing"]))
+_ANCHORED = ST.ArrayType(ST.StructType([
+    ST.StructField("id", ST.IntegerType()), ST.StructField("start", ST.IntegerType()), ST.StructField("end", ST.IntegerType()),
+    ST.StructField("start_problem", ST.StringType()), ST.StructField("end_problem", ST.StringType())]))
+
+
+@F.arrow_udf(returnType=_ANCHORED)
+def _anchored(texts: pa.Array, quotes: pa.Array) -> pa.Array:
+    def walk(text: str | None, clauses: list | None) -> list | None:
+        if text is None or clauses is None:
+            return None
+
+        def problem(needle: str) -> str:
+            return "empty" if not needle else "earlier" if needle in text else "absent"
+
+        spans, cursor = [], 0
+        for c in clauses:
+            head, tail = c["head"], c["tail"]
+            begin = text.find(head, cursor) if head else -1
+            close = text.find(tail, begin) if begin >= 0 and tail else -1
+            spans.append({
+                "id": c["id"], "start": begin if begin >= 0 else None, "end": close + len(tail) if close >= 0 else None,
+                "start_problem": problem(head) if begin < 0 else None,
+                "end_problem": problem(tail) if begin >= 0 and tail and close < 0 else None})
+            if close >= 0:
+                cursor = close + len(tail)
+            elif begin >= 0:
+                cursor = max(cursor, begin + len(head))
+        return spans
 
-    return bind(text, walk)
+    return pa.array(map(walk, texts.to_pylist(), quotes.to_pylist()), to_arrow_type(_ANCHORED))
 
 
-ANCHOR_TYPE = "array<struct<id:int,start:int,end:int,start_problem:string,end_problem:string>>"
+_walked = _anchored.asNondeterministic()
 
 
 def resolve_anchors(text: Column, clauses: Column) -> Column:
@@ -213,52 +275,12 @@ def resolve_anchors(text: Column, clauses: Column) -> Column:
     Each search starts at the cursor left by the clause before. The result
     keeps one entry per clause, in order, with ``start`` NULL when the head
     anchor did not resolve and ``end`` NULL when the clause runs to the next.
+    Like ``locate_parts`` it walks through the texts of an Arrow batch.
     """
-    start = F.struct(
-        F.lit(0).alias("cursor"), F.array().cast(ANCHOR_TYPE).alias("spans"))
-    quotes = F.transform(clauses, lambda c: F.struct(
+    return _walked(text, F.transform(clauses, lambda c: F.struct(
         c["id"].cast("int").alias("id"),
         normalise_whitespace(F.coalesce(c["anchor_start"], F.lit(""))).alias("head"),
-        normalise_whitespace(F.coalesce(c["anchor_end"], F.lit(""))).alias("tail")))
-
-    def problem(whole: Column, needle: Column) -> Column:
-        return (
-            F.when(needle == "", F.lit("empty"))
-            .when(F.position(needle, whole) > 0, F.lit("earlier"))
-            .otherwise(F.lit("absent")))
-
-    def advance(whole: Column, state: Column, quote: Column, at: Column) -> Column:
-        head, tail = quote["head"], quote["tail"]
-        head_ok = at["head"] >= 0
-        tail_ok = at["tail"] >= 0
-        span = F.struct(
-            quote["id"].alias("id"),
-            F.when(head_ok, at["head"]).alias("start"),
-            F.when(tail_ok, at["tail"] + F.length(tail)).alias("end"),
-            F.when(~head_ok, problem(whole, head)).alias("start_problem"),
-            F.when(head_ok & (tail != "") & ~tail_ok, problem(whole, tail)).alias("end_problem"),
-        )
-        return F.struct(
-            F.when(tail_ok, at["tail"] + F.length(tail))
-            .when(head_ok, F.greatest(state["cursor"], at["head"] + F.length(head)))
-            .otherwise(state["cursor"]).alias("cursor"),
-            F.concat(state["spans"], F.array(span).cast(ANCHOR_TYPE)).alias("spans"),
-        )
-
-    def search(whole: Column, state: Column, quote: Column) -> Column:
-        head_at = F.when(
-            quote["head"] != "", F.position(quote["head"], whole, state["cursor"] + 1) - 1
-        ).otherwise(-1)
-        return bind(head_at, lambda h: bind(
-            F.struct(
-                h.alias("head"),
-                F.when((h >= 0) & (quote["tail"] != ""),
-                       F.position(quote["tail"], whole, h + 1) - 1).otherwise(-1).alias("tail")),
-            lambda at: advance(whole, state, quote, at)))
-
-    return bind(text, lambda whole: F.aggregate(
-        quotes, start, lambda state, quote: search(whole, state, quote),
-        lambda state: state["spans"]))
+        normalise_whitespace(F.coalesce(c["anchor_end"], F.lit(""))).alias("tail"))))
 
 
 def clean_page_artifacts(col: Column) -> Column:

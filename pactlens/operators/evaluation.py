@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from pactlens import domain as D
 from pactlens.functions.text import is_blank
@@ -226,8 +228,9 @@ def match_boundaries(
     """Greedy one-to-one pairs, closest first, ties by (p_idx, g_idx).
 
     Starts more than the tolerance apart cannot compete, so a document's
-    offsets are cut into runs at such gaps and each short run is settled by a
-    fold over its sorted candidates. No Python worker is involved.
+    offsets are cut into runs at such gaps. A run without rivals needs no
+    order; the others are settled by one walk over their sorted candidates,
+    linear in their number.
     """
     points = predicted.select("doc_id", "offset").unionByName(
         gold.select("doc_id", "offset")).distinct()
@@ -237,20 +240,31 @@ def match_boundaries(
         "run", F.sum("opens").over(along)).select("doc_id", F.col("offset").alias("p_offset"), "run")
     candidates = boundary_candidates(predicted, gold, tolerance).join(
         runs, ["doc_id", "p_offset"])
-    ordered = F.sort_array(F.collect_list(F.struct("distance", "p_idx", "g_idx")))
-    start = F.array().cast("array<struct<p_idx:int,g_idx:int>>")
-
-    def settle(pairs: Column, item: Column) -> Column:
-        taken = F.exists(
-            pairs, lambda p: (p["p_idx"] == item["p_idx"]) | (p["g_idx"] == item["g_idx"]))
-        new = F.struct(item["p_idx"].cast("int").alias("p_idx"), item["g_idx"].cast("int").alias("g_idx"))
-        return F.when(taken, pairs).otherwise(F.concat(pairs, F.array(new)))
-
-    return (
-        candidates.groupBy("doc_id", "run")
-        .agg(F.aggregate(ordered, start, settle).alias("pairs"))
-        .select("doc_id", F.inline("pairs"))
-    )
+    ordered = F.sort_array(F.collect_list(F.struct(
+        "distance", F.col("p_idx").cast("int").alias("p_idx"), F.col("g_idx").cast("int").alias("g_idx")))).alias("pairs")
+    rivals = F.greatest(*[F.size("pairs") - F.size(F.array_distinct(f"pairs.{side}")) for side in ("p_idx", "g_idx")]) > 0
+    # runs in which nothing competes are settled as they are
+    taken = _first_free(*[F.when(rivals, F.col(f"pairs.{side}")) for side in ("p_idx", "g_idx")])
+    runs_of = candidates.groupBy("doc_id", "run").agg(ordered).withColumn("taken", taken)
+    kept = F.when(F.col("taken").isNull(), F.col("pairs")).otherwise(F.transform("taken", lambda i: F.get("pairs", i)))
+    return runs_of.select("doc_id", F.inline(kept)).select("doc_id", "p_idx", "g_idx")
+
+
+@F.arrow_udf(returnType=ST.ArrayType(ST.IntegerType()))
+def _first_free(left: pa.Array, right: pa.Array) -> pa.Array:
+    """Positions of the pairs that a walk in order takes, each side once; linear in the pairs."""
+    def walk(ps: list | None, gs: list | None) -> list | None:
+        if ps is None:
+            return None
+        seen_p, seen_g, out = set(), set(), []
+        for i, (p, g) in enumerate(zip(ps, gs, strict=True)):
+            if p not in seen_p and g not in seen_g:
+                seen_p.add(p)
+                seen_g.add(g)
+                out.append(i)
+        return out
+
+    return pa.array(map(walk, left.to_pylist(), right.to_pylist()), pa.list_(pa.int32()))
 
 
 def boundary_scores(predicted: DataFrame, gold: DataFrame, matches: DataFrame) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pactlens import domain as D
 from pactlens.functions import text as T
@@ -18,24 +20,28 @@ from pactlens.sources.annotations import resolve_spans
 Transform = Callable[[DataFrame], DataFrame]
 
 
-def _located(text: Column) -> Column:
-    return T.bind(text, lambda raw: T.locate_parts(
-        T.normalise_whitespace(raw), T.segment_text(raw)))
+def _located(documents: DataFrame) -> DataFrame:
+    """(doc_id, found): where each document's own segments lie in its text."""
+    rows = documents.select("doc_id", T.normalise_whitespace(F.col("text")).alias("text"),
+                            F.transform(T.segment_text(F.col("text")), T.normalise_whitespace).alias("parts"))
+
+    def run(batches):
+        for batch in batches:
+            found = [T.search_parts(x, p) for x, p in zip(batch.column("text").to_pylist(), batch.column("parts").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, to_arrow_type(T.LOCATED))], ["doc_id", "found"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, found {T.LOCATED.simpleString()}")
 
 
 def predicted_starts(documents: DataFrame) -> DataFrame:
     """Clause starts of each document's own segmentation: (doc_id, idx, offset)."""
-    # a NULL array explodes to nothing; a filter would run the search a second time
-    offsets = T.bind(_located(F.col("text")), lambda found: F.when(
-        found["missing"].isNull(), found["offsets"]))
-    return documents.select("doc_id", F.posexplode(offsets).alias("idx", "offset"))
+    return _located(documents).filter("found.missing IS NULL").select("doc_id", F.posexplode("found.offsets").alias("idx", "offset"))
 
 
 def unlocated_documents(documents: DataFrame) -> DataFrame:
     """Documents whose segments are no substrings of their text; never silently skipped."""
-    return documents.select(
-        "doc_id", F.explode(F.array_compact(F.array(_located(F.col("text"))["missing"])))
-        .alias("segment"))
+    return _located(documents).select("doc_id", F.col("found.missing").alias("segment")).filter("segment IS NOT NULL")
 
 
 def evaluate_segmentation(

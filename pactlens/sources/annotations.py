@@ -105,9 +105,8 @@ def resolve_spans(documents: DataFrame, clauses: DataFrame) -> tuple[DataFrame,
         F.struct("position", "id", "anchor_start", "anchor_end"))).alias("clauses"))
     bound = documents.select(
         "doc_id", T.normalise_whitespace(F.col("text")).alias("text")).join(ordered, "doc_id")
-    rows = bound.select(
-        "doc_id", "text", F.posexplode(T.resolve_anchors(F.col("text"), F.col("clauses")))
-        .alias("position", "span")).select("doc_id", "text", "position", "span.*")
+    rows = bound.withColumn("spans", T.resolve_anchors(F.col("text"), F.col("clauses"))).select(
+        "doc_id", "text", F.posexplode("spans").alias("position", "span")).select("doc_id", "text", "position", "span.*")
     problems = rows.select(
         "doc_id", "id", F.explode(F.array_compact(F.array(
             F.when(F.col("start_problem").isNotNull(), F.struct(
