@@ -6,12 +6,13 @@ compares rows with the ones that lead all their buckets, which settles families
 of copies in linear work. The rest is joined inside its buckets under a bound
 on the symmetric difference that only truly similar rows pass, and the keep-first
 rounds then run over verified links, so that rows which merely share text
-never wait for each other.
+never wait for each other. A bucket of very many rows is cut into tiles by
+their size, and tile meets tile in tasks of bounded size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactlens import domain as D
@@ -98,6 +99,7 @@ def _live_members(members: DataFrame) -> DataFrame:
 
 
 LEADER_ROUNDS = 2
+TILE_ROWS = 4096  # members of a bucket that one task compares with as many others
 BITMAP_WORDS = 4
 
 
@@ -131,15 +133,65 @@ def _first_hits(scored: DataFrame) -> DataFrame:
         F.min_by(F.struct("keeper_id", "jaccard"), "keeper_id").alias("hit")).select("id", "hit.*")
 
 
+def _passing(threshold: float) -> Column:
+    return _can_match(threshold) & _near_bitmaps(threshold)
+
+
 def _meet(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """(id, keeper_id) of members that share a bucket and pass all bounds."""
     return left.alias("left").join(
         right.alias("right"),
-        (F.col("left.token") == F.col("right.token")) & (F.col("right.id") < F.col("left.id"))
-        & _can_match(threshold) & _near_bitmaps(threshold)
+        (F.col("left.token") == F.col("right.token")) & (F.col("right.id") < F.col("left.id")) & _passing(threshold)
     ).select(F.col("left.id").alias("id"), F.col("right.id").alias("keeper_id")).distinct()
 
 
+def tiles_of(members: DataFrame, tile_rows: int) -> DataFrame:
+    """``members`` with ``tile``: the members of each bucket in runs of rising size, about ``tile_rows`` each.
+
+    Runs are found from the number of members of each size, so a bucket is
+    never ranked in one task; members of one size are dealt out by their id.
+    """
+    sizes = members.groupBy("token", "n").agg(F.count("*").alias("c"))
+    before = Window.partitionBy("token").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    runs = sizes.select("token", "n", F.floor(F.coalesce(F.sum("c").over(before), F.lit(0)) / tile_rows).alias("base"),
+                        F.ceil(F.col("c") / tile_rows).alias("span"))
+    return members.join(runs, ["token", "n"]).withColumn(
+        "tile", (F.col("base") + F.pmod(F.xxhash64("id"), F.col("span"))).cast("int")).drop("base", "span")
+
+
+def _meet_in_tiles(members: DataFrame, threshold: float, tile_rows: int) -> DataFrame:
+    """``_meet`` of a set of members with itself, for buckets too large for one task.
+
+    Tile meets tile, each pair of tiles once and in a task of its own; pairs
+    whose sizes are too far apart don't meet at all.
+    """
+    tiled = tiles_of(members, tile_rows)
+    edges = tiled.groupBy("token", "tile").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    small, large = edges.alias("small"), edges.alias("large")
+    pairs = small.join(large, (F.col("small.token") == F.col("large.token")) & (F.col("small.tile") <= F.col("large.tile"))
+                       & (F.col("small.high") >= F.col("large.low") * threshold - 1e-9)).select(
+        F.col("small.token").alias("token"), F.col("small.tile").alias("a"), F.col("large.tile").alias("b"))
+    left = tiled.withColumnRenamed("tile", "a").join(pairs, ["token", "a"])
+    right = tiled.withColumnRenamed("tile", "b").join(pairs, ["token", "b"])
+    same = (F.col("left.token") == F.col("right.token")) & (F.col("left.a") == F.col("right.a")) & (F.col("left.b") == F.col("right.b"))
+    once = (F.col("left.a") < F.col("left.b")) | (F.col("left.id") > F.col("right.id"))
+    return left.alias("left").join(right.alias("right"), same & once & (F.col("left.id") != F.col("right.id")) & _passing(threshold)).select(
+        F.greatest("left.id", "right.id").alias("id"), F.least("left.id", "right.id").alias("keeper_id")).distinct()
+
+
+def _links(members: DataFrame, shingles: DataFrame, threshold: float, tile_rows: int) -> DataFrame:
+    """Verified pairs (id, keeper_id, jaccard) of all members."""
+    hot = members.groupBy("token").agg(F.count("*").alias("size")).filter(F.col("size") > tile_rows).select("token")
+    hot = cut_lineage(hot)
+    if hot.isEmpty():
+        met = _meet(members, members, threshold)
+    else:
+        cold = members.join(hot, "token", "left_anti")
+        met = _meet(cold, cold, threshold).unionByName(
+            _meet_in_tiles(members.join(hot, "token", "left_semi"), threshold, tile_rows)).distinct()
+    return cut_lineage(_verify(met, shingles, threshold))
+
+
 def _leader_round(members: DataFrame, shingles: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(hits, open members) after the rows that lead all of their buckets are kept."""
     # the first row a member has to wait for: an indexing one, or any if it indexes itself
@@ -193,8 +245,7 @@ def near_duplicates(
     for _ in range(LEADER_ROUNDS):
         hits, members = _leader_round(members, shingles, threshold)
         dropped = dropped.unionByName(hits)
-    links = cut_lineage(_verify(_meet(members, members, threshold), shingles, threshold))
-    dropped = dropped.unionByName(_settle_links(links))
+    dropped = dropped.unionByName(_settle_links(_links(members, shingles, threshold, TILE_ROWS)))
     fate = copies.join(dropped.withColumnRenamed("id", "first_id"), "first_id", "left")
     return dropped.unionByName(fate.select(
         "id", F.coalesce("keeper_id", "first_id").alias("keeper_id"),
