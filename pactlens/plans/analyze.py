@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pactlens.functions import language, scoring
 from pactlens.functions.text import bind
 from pactlens.operators import contracts as C
+from pactlens.session import built_once
 from pactlens.sources.pages import clauses_of
 
 Scorer = Callable[[str, str], tuple[str, str, str]]
@@ -19,9 +20,19 @@ RETRIES = 3
 RETRY_PAUSE_SECONDS = 0.8
 
 
+@built_once
+def _typed() -> Column:
+    return scoring.classify_keywords(F.col("raw_text"))
+
+
+@built_once
+def _answer() -> Column:
+    return scoring.demo_answer(F.col("raw_text"), F.col("clause_type"))
+
+
 def classify_clauses(clauses: DataFrame) -> DataFrame:
     """Add clause_type and conf (four decimals, as stored) by keyword rules."""
-    return clauses.withColumn("_c", scoring.classify_keywords(F.col("raw_text"))).select(
+    return clauses.withColumn("_c", _typed()).select(
         *clauses.columns, F.col("_c.clause_type").alias("clause_type"),
         F.round("_c.confidence", 4).alias("conf"))
 
@@ -38,8 +49,7 @@ def score_clauses(
     error as a value and does not disturb the others.
     """
     if scorer is None:
-        answered = clauses.withColumn(
-            "_a", scoring.demo_answer(F.col("raw_text"), F.col("clause_type")))
+        answered = clauses.withColumn("_a", _answer())
         return answered.select(
             *clauses.columns, "_a.summary", "_a.factors_raw", "_a.score_raw",
             F.lit(1).alias("attempts"), F.lit(None).cast("string").alias("error"))
@@ -69,8 +79,8 @@ def score_clauses(
         f"{fields}, summary string, factors_raw string, score_raw string, attempts int, error string")
 
 
-def finalize(answers: DataFrame) -> DataFrame:
-    """Parse answers, filter prescriptive language and blend the hybrid level."""
+@built_once
+def _parsed() -> dict[str, Column]:
     def cleaned(items: Column) -> Column:
         return F.struct(
             F.transform(items, lambda f: f["text"]).alias("factors"),
@@ -78,11 +88,16 @@ def finalize(answers: DataFrame) -> DataFrame:
 
     factors = bind(F.transform(
         scoring.parse_factors(F.col("factors_raw")), lambda f: language.sanitize(f)), cleaned)
-    parsed = answers.withColumns({
+    return {
         "model_score": F.round(scoring.parse_score(F.col("score_raw")), 4),  # scores are stored with four decimals
         "_summary": language.sanitize(scoring.strip(F.col("summary"))),
         "_factors": factors,
-    })
+    }
+
+
+def finalize(answers: DataFrame) -> DataFrame:
+    """Parse answers, filter prescriptive language and blend the hybrid level."""
+    parsed = answers.withColumns(_parsed())
     finished = parsed.withColumns({
         "summary": F.col("_summary.text"),
         "risk_factors": F.col("_factors.factors"),

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -34,6 +37,24 @@ def build_session(app_name: str = "pactlens", master: str | None = None, **conf)
     return builder.getOrCreate()
 
 
+def built_once(build: Callable):
+    """Keep the columns that ``build`` makes for as long as the application runs.
+
+    Long expressions take a second to put together, which a stream would
+    otherwise spend on each of its batches. Columns don't belong to a frame.
+    """
+    made: dict = {}
+
+    @functools.wraps(build)
+    def run(*args):
+        key = (SparkContext._active_spark_context.applicationId, *args)
+        if key not in made:
+            made[key] = build(*args)
+        return made[key]
+
+    return run
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which driver and executors share.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactlens.functions import text as T
+from pactlens.session import built_once
 
 
 def _joined(pages: Column) -> Column:
@@ -118,9 +119,14 @@ def layout_segments(lines: DataFrame) -> DataFrame:
     )
 
 
+@built_once
+def _segments(text: str) -> Column:
+    return T.segment_text(F.col(text))
+
+
 def clauses_of(documents: DataFrame, text: str = "text", segments: Column | None = None) -> DataFrame:
     """Documents -> clauses (doc_id, clause_index from 1, raw_text), without a shuffle."""
-    parts = T.segment_text(F.col(text)) if segments is None else segments
+    parts = _segments(text) if segments is None else segments
     return documents.withColumn("_parts", parts).select(
         "doc_id", F.posexplode("_parts").alias("_pos", "raw_text")
     ).select("doc_id", (F.col("_pos") + 1).alias("clause_index"), "raw_text")

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+BUCKETS = 32
 MANIFEST = "version long, n_rows long, buckets array<int>, done map<string,long>, generation int, run string, batch long"
 
 
@@ -65,7 +65,12 @@ class Store:
     def read(self, buckets: Iterable[int] | None = None) -> DataFrame:
         """All committed rows, or those of some buckets."""
         wanted = None if buckets is None else set(buckets)
-        paths = [f"{self._path('data', r)}/bucket={b}" for r in self._manifest() for b in r["buckets"] or () if wanted is None or b in wanted]
+        paths = []
+        for r in self._manifest():
+            held = r["buckets"] or []
+            asked = held if wanted is None else [b for b in held if b in wanted]
+            # a commit of which all buckets are asked is listed by its own folder
+            paths += [self._path("data", r)] if held and len(asked) == len(held) else [f"{self._path('data', r)}/bucket={b}" for b in asked]
         columns = f"{self.schema}, version long"
         if not paths:
             return self.spark.createDataFrame([], columns)

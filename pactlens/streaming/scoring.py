@@ -55,8 +55,9 @@ def open_clauses(store: commits.Store, batch: DataFrame, fingerprint: str) -> Da
 
     Only the buckets of the batch's documents are read.
     """
+    asked = store.asked(batch)
     hashed = clauses_of(batch).withColumn("content_hash", scoring.content_hash(F.col("raw_text"), fingerprint))
-    good = store.read(store.asked(batch)).filter(F.col("error").isNull())
+    good = store.read(asked).filter(F.col("error").isNull())
     known = good.groupBy(*KEY).agg(F.max_by("content_hash", "version").alias("content_hash"))
     return hashed.join(known, [*KEY, "content_hash"], "left_anti")
 

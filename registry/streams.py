@@ -28,14 +28,15 @@ def stream_of(t: Tables, name: str, order: str = "ts", batches: int = BATCHES):
     place = F.col(order).cast("double")
     cuts = static.select(F.percentile_approx(place, [i / batches for i in range(1, batches)], 1000)).first()[0] or []
     folder = fresh_path(t.spark, f"stream-{name}")
+    files = max(1, static.rdd.getNumPartitions() // (8 * batches))  # of each part; few rows may fill one partition only
     for low, high in zip([None, *cuts], [*cuts, None]):
         part = static
         if low is not None:
             part = part.filter(place > low)
         if high is not None:
             part = part.filter((place <= high) if low is not None else (place <= high) | place.isNull())
-        part.write.mode("append").parquet(folder)
-    return t.spark.readStream.schema(static.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        part.coalesce(files).write.mode("append").parquet(folder)
+    return t.spark.readStream.schema(static.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 @query("t1_incremental_scoring", with_ctes(
