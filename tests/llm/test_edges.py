@@ -3,8 +3,8 @@
 import pytest
 
 import corpus_pipeline
-from pactlens.llm import (fingerprints, language_id, line_spread, mixing, near_duplicates, packing, personal_data, quality,
-                          secrets, vector_search)
+from pactlens.llm import (fill_in_middle, filter_audit, fingerprints, language_id, line_spread, mixing, near_duplicates, packing, personal_data, quality,
+                          secrets, substring_dedup, vector_search)
 
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, id long, key string, size string, score string, "
           "spans int, label string, part string, guest int, place string, block string, row int, bands int, node string, kept int")
@@ -19,7 +19,7 @@ EXTRA = (9, "x", "y", "z", 3, "l", "p", 1, "q", "r", 2, 0, "n", 4)
 OPERATORS = {
     "op1": language_id.op1_language_id, "op2": fingerprints.op2_fingerprints, "op3": near_duplicates.op3_near_duplicates,
     "op4": mixing.op4_mix_sources, "op6": personal_data.op6_personal_data, "op8": secrets.op8_secrets,
-    "op10": line_spread.op10_line_spread,
+    "op10": line_spread.op10_line_spread, "op11": substring_dedup.op11_substring_dedup, "op12": fill_in_middle.op12_fill_in_middle,
 }
 
 
@@ -106,6 +106,20 @@ def test_packing_of_odd_texts(docs, nothing):
     assert packing.op9_packing(nothing).collect() == []
 
 
+def test_repeats_and_middles_of_odd_texts(docs):
+    got = by_id(substring_dedup.op11_substring_dedup(docs).collect())
+    assert (got[4]["n_words"], got[4]["n_removed"]) == (48000, 48000) and got[1]["n_words"] == got[3]["n_words"] == 0
+    got = by_id(fill_in_middle.op12_fill_in_middle(docs).collect())
+    assert [got[i]["form"] for i in (1, 2)] == ["plain"] * 2 and got[4]["n"] == 1 and got[3]["form"] != "plain"
+
+
+def test_audit_of_odd_texts(docs, labels, nothing):
+    rows = filter_audit.op13_filter_audit(docs, labels).collect()
+    assert {r["part"] for r in rows} == {"", "a", "b"} and len(rows) == 3 * 600
+    assert {r["kept"] + r["removed"] for r in rows if r["step"] == 1 and r["part"] == "a"} == {4}
+    assert filter_audit.op13_filter_audit(nothing, labels).collect() == []
+
+
 def test_search_of_odd_vectors(spark):
     rows = [(20, [0.5, -0.25], "x"), (20, [0.5, -0.25], "x"), (1, [1.0], "x"), (2, None, "x"), (3, [float("nan"), 1.0], "x"),
             (4, [None, 1.0], "x"), (5, [float("inf")], "x"), (6, [], "x"), (40, [0.5, -0.25], "x"), (None, [1.0], "x")]
