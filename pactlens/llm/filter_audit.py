@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pactlens.llm.texts import slices
+from pactlens.session import cut_lineage
 
 LETTERS = "ABCDE"
 MIN_WORDS = 200
@@ -157,7 +158,8 @@ def with_copies(rows: DataFrame, facts: tuple[str, ...], copy_bit: int) -> DataF
     counted before every shuffle and never joined, so a text that very many
     rows have is one row for each task. A null id is no smaller id, and has none.
     """
-    counted = rows.groupBy("k1", "k2", "doc_id", *facts).agg(F.count("*").alias("n"))
+    # narrow rows, written once, so that the texts are read once
+    counted = cut_lineage(rows.groupBy("k1", "k2", "doc_id", *facts).agg(F.count("*").alias("n")))
     alike = counted.filter("doc_id IS NOT NULL").groupBy("k1", "k2", "doc_id").agg(F.collect_list(F.struct(*facts, "n")).alias("rows"))
     first = alike.groupBy("k1", "k2").agg(F.min_by("rows", "doc_id").alias("rows")).select(F.inline("rows")).unionByName(
         counted.filter("doc_id IS NULL").select(*facts, "n"))
