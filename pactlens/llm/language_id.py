@@ -3,7 +3,9 @@
 A suffix automaton of each language's labelled text gives longest matches. A
 text is parsed greedily into phrases that occur in the sample; the language
 whose automaton needs the fewest phrases a letter, normalised by the sample's
-length, wins. All texts of a batch are parsed at once, in blocks of letters.
+length, wins. All texts of a batch are parsed at once, in blocks of letters
+that are joined exactly: a block is parsed again from the state in which the
+one before it ends, until it meets its earlier parse.
 """
 
 from __future__ import annotations
@@ -21,12 +23,12 @@ from pactlens.llm.texts import code_points, slices
 # The fit is bounded by these; prediction reads whole texts.
 SAMPLE_TEXTS = 64  # labelled texts a language
 SAMPLE_CHARS = 32768  # letters a language
-ALPHABET = 96  # most frequent letters of all samples together
-BLOCK = 256  # letters that are parsed in a run; a phrase ends with its block
+ALPHABET = 96  # most frequent letters, whose transitions are looked up in a table; those of all others in sorted keys
+BLOCK = 512  # letters that are parsed in a run
 SHARPNESS = 6.0  # turns differences in bits a letter into a score
 UNDECIDED = "und"
 
-SPACE, UNKNOWN = 0, 1  # classes of letters; those of the alphabet follow
+SPACE, UNKNOWN = 0, 1  # classes of letters; one for every letter of the samples follows
 
 
 @cache
@@ -50,8 +52,8 @@ def plain(text: str) -> str:
     return " ".join(kept.astype("<u4").tobytes().decode("utf-32-le").split())
 
 
-def suffix_automaton(codes: list[int], classes: int) -> np.ndarray:
-    """Transitions (state, class) of the automaton of all substrings; state 0 is the root, 0 is no transition."""
+def suffix_automaton(codes: list[int]) -> list[dict]:
+    """Transitions (class to state) of every state of the automaton of all substrings; state 0 is the root."""
     to, link, length, last = [{}], [-1], [0], 0
     for c in codes:
         state = len(to)
@@ -76,21 +78,68 @@ def suffix_automaton(codes: list[int], classes: int) -> np.ndarray:
                     at = link[at]
                 link[target] = link[state] = clone
         last = state
-    out = np.zeros((len(to), classes), np.int32)
-    for state, edges in enumerate(to):
-        for c, target in edges.items():
-            out[state, c] = target
-    return out
+    return to
 
 
 @dataclass
-class Model:
-    """Languages in code-point order, the class of every code point, and a parsing table for each language.
+class Table:
+    """Transitions of one language: a dense part for frequent classes, sorted keys for the others.
 
-    Tables hold row offsets. Their last row is the state between phrases, and
-    their last class pads blocks and leads there.
+    States are row offsets of the dense part. Its last row is the state
+    between phrases, and its last class pads blocks and leads there. 0 is no
+    transition; from the root, the state between phrases stands for it.
     """
 
+    dense: np.ndarray
+    keys: np.ndarray
+    targets: np.ndarray
+    width: int
+    others: int
+
+    @classmethod
+    def of(cls, automaton: list[dict], width: int, others: int) -> Table:
+        dense = np.zeros((len(automaton) + 1, width), np.int32)
+        dense[:, -1] = len(automaton) * width
+        sparse = {}
+        for state, edges in enumerate(automaton):
+            for c, target in edges.items():
+                if c < width:
+                    dense[state, c] = target * width
+                else:
+                    sparse[state * others + c - width] = target * width
+        keys = np.array(sorted(sparse), np.int64)
+        return cls(dense.ravel(), keys, np.array([sparse[k] for k in keys.tolist()], np.int32), width, others)
+
+    @property
+    def between(self) -> int:
+        return len(self.dense) - self.width
+
+    def follow(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """The next states, 0 where a phrase can't go on."""
+        other = np.flatnonzero(letter >= self.width) if self.others else ()
+        if not len(other):
+            return self.dense.take(state + letter)
+        out = self.dense.take(state + np.where(letter < self.width, letter, UNKNOWN))
+        if len(self.keys):
+            wanted = state[other].astype(np.int64) // self.width * self.others + letter[other] - self.width
+            at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            out[other] = np.where(self.keys[at] == wanted, self.targets[at], 0)
+        return out
+
+    def step(self, state: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and where a new phrase begins with the letter."""
+        following = self.follow(state, letter)
+        begins = following == 0
+        if begins.any():
+            fresh = self.follow(np.zeros(int(begins.sum()), np.int32), letter[begins])
+            following[begins] = np.where(fresh == 0, self.between, fresh)
+        return following, begins
+
+
+@dataclass
+class Model:
+    """Languages in code-point order, the class of every code point, and the transitions of each language."""
+
     languages: list
     classes: np.ndarray
     width: int
@@ -103,26 +152,53 @@ def fit(samples: dict) -> Model:
     texts = {k: " " + " ".join(plain(t) for t in v)[:SAMPLE_CHARS] + " " for k, v in sorted(samples.items())}
     texts = {k: t for k, t in texts.items() if t.strip()}
     points, counts = np.unique(np.frombuffer("".join(texts.values()).encode("utf-32-le"), np.uint32), return_counts=True)
-    ordered = [p for p in points[np.argsort(-counts, kind="stable")].tolist() if p != 32][:ALPHABET]
+    ordered = [p for p in points[np.argsort(-counts, kind="stable")].tolist() if p != 32]
+    width = min(len(ordered), ALPHABET) + 3
+    numbers = np.arange(2, len(ordered) + 2)
+    numbers[ALPHABET:] += 1  # the class before these pads blocks
     lower, letter = _letters()
-    of_point = np.full(0x110000, SPACE, np.uint8)
-    of_point[letter] = UNKNOWN
-    known = np.zeros(0x110000, np.uint8)
-    known[ordered] = np.arange(2, len(ordered) + 2)
-    of_point[letter] = np.maximum(of_point[letter], known[lower[letter]])
-    width = len(ordered) + 3
+    known = np.full(0x110000, UNKNOWN, np.int32)
+    known[ordered] = numbers
+    of_point = np.where(letter, known[lower], SPACE).astype(np.int32)
     tables, bits = [], []
     for text in texts.values():
         codes = of_point[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
-        table = suffix_automaton(codes.tolist(), width)
-        rest = len(table) * width
-        table = np.concatenate([table * width, np.zeros((1, width), np.int32)])
-        table[:, -1] = rest
-        tables.append(table.ravel())
+        tables.append(Table.of(suffix_automaton(codes.tolist()), width, max(0, len(ordered) - ALPHABET)))
         bits.append(float(np.log2(len(text))))
     return Model(list(texts), of_point, width, tables, bits)
 
 
+def begins_of_phrases(table: Table, grid: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where phrases begin in blocks of letters, which are the columns of ``grid`` in the order of the text.
+
+    ``first`` marks the blocks that open a text. Every block is parsed from
+    the state between phrases, then again from the last state of the block
+    before it, until it meets its earlier states or ends; blocks whose
+    predecessor's last state changed by that are taken up once more.
+    """
+    states = np.empty(grid.shape, np.int32)
+    begins = np.empty(grid.shape, bool)
+    entry = state = np.full(grid.shape[1], table.between, np.int32)
+    for i, row in enumerate(grid):
+        state, begins[i] = table.step(state, row)
+        states[i] = state
+    while grid.shape[1]:
+        before = np.where(first, table.between, np.roll(states[-1], 1))
+        open_ = np.flatnonzero(before != entry)
+        entry, state = before, before[open_]
+        if not len(open_):
+            break
+        for i, row in enumerate(grid):
+            state, begins[i, open_] = table.step(state, row[open_])
+            differs = states[i, open_] != state
+            states[i, open_] = state
+            if not differs.all():
+                open_, state = open_[differs], state[differs]
+                if not len(open_):
+                    break
+    return begins
+
+
 def phrases(model: Model, points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(texts, languages) numbers of phrases; classes parsed in each text; whether it has a letter."""
     classes = model.classes[points]
@@ -132,26 +208,19 @@ def phrases(model: Model, points: np.ndarray, offsets: np.ndarray) -> tuple[np.n
     letters = np.bincount(text[classes != SPACE], minlength=len(offsets) - 1)
     classes, text = classes[~repeat], text[~repeat]
     sizes = np.bincount(text, minlength=len(offsets) - 1)
-    first = np.cumsum(sizes) - sizes
-    place = np.arange(len(classes)) - first[text]
+    begin = np.cumsum(sizes) - sizes
+    place = np.arange(len(classes)) - begin[text]
     blocks = -(-sizes // BLOCK)
     block = (np.cumsum(blocks) - blocks)[text] + place // BLOCK
     of_block = np.repeat(np.arange(len(sizes)), blocks)
+    first = np.ones(len(of_block), bool)
+    first[1:] = of_block[1:] != of_block[:-1]
     grid = np.full((BLOCK, len(of_block)), model.width - 1, np.int32)
     grid[place % BLOCK, block] = classes
     out = np.zeros((len(sizes), len(model.languages)), np.int64)
     for at, table in enumerate(model.tables):
-        rest = len(table) - model.width
-        root = np.where(table[:model.width] == 0, rest, table[:model.width])
-        state = np.full(len(of_block), rest, np.int32)
-        count = np.zeros(len(of_block), np.int32)
-        for row in grid:
-            state += row
-            following = table.take(state)
-            ends = following == 0
-            count += ends
-            state = np.where(ends, root.take(row), following)
-        out[:, at] = np.bincount(of_block, weights=count, minlength=len(sizes))
+        counts = begins_of_phrases(table, grid, first).sum(0)
+        out[:, at] = np.bincount(of_block, weights=counts, minlength=len(sizes))
     return out, sizes, letters > 0
 
 
