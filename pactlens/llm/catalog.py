@@ -25,16 +25,16 @@ def query(name: str, build: Callable[..., DataFrame], *tables: str, sql: str | N
         ORACLES[name] = sql
 
 
-TOP_SQL = """WITH v AS (
-    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+TOP_SQL = """WITH v AS MATERIALIZED (
+    SELECT row_number() OVER () AS k, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
     FROM embeddings WHERE embedding IS NOT NULL AND NOT list_contains(
       list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x)), true)),
   s AS (
-    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(
+    SELECT q.k, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(
       CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
-    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+    FROM v q JOIN v c ON q.k <> c.k WHERE q.vec_id % 20 = 0),
   r AS (
-    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+    SELECT *, CAST(row_number() OVER (PARTITION BY k ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
   SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
 
 LINES_SQL = """WITH l AS (
