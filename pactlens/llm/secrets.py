@@ -91,18 +91,22 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 
 def classified(candidates: DataFrame) -> DataFrame:
-    """(row, n_example, n_live) of the rows that hold candidates; ``candidates`` carries a stable ``row``."""
+    """(row, n_example, n_live, repositories) of the rows that hold candidates, which carry a stable ``row``.
+
+    ``repositories`` is the widest spread of any value of the row.
+    """
     spans = candidates.select("row", F.explode("spans").alias("s")).select(
         "row", F.sha2(F.col("s.value"), 256).alias("secret"), F.col("s.entropy").alias("entropy"))
     known = spans.join(ownership(candidates), "secret")
     example = F.col("owners") >= EXAMPLE_OWNERS
     return known.groupBy("row").agg(
         F.sum(example.cast("long")).alias("n_example"),
-        F.sum((~example & (F.col("entropy") >= LIVE_ENTROPY)).cast("long")).alias("n_live"))
+        F.sum((~example & (F.col("entropy") >= LIVE_ENTROPY)).cast("long")).alias("n_live"),
+        F.max("repositories").alias("repositories"))
 
 
 def find_secrets(docs: DataFrame, **columns: str) -> DataFrame:
-    """(id, spans, n_example, n_live), one row for each row of ``docs``.
+    """(id, spans, n_example, n_live, repositories), one row for each row of ``docs``.
 
     Repeated rows give repeated results and count once as an owner's; other
     columns are left out; an empty table gives an empty result. The candidates
@@ -111,7 +115,7 @@ def find_secrets(docs: DataFrame, **columns: str) -> DataFrame:
     candidates = cut_lineage(find_candidates(docs, **columns).withColumn("row", F.monotonically_increasing_id()))
     counts = classified(candidates)
     return candidates.join(counts, "row", "left").select(
-        "id", "spans", F.coalesce("n_example", F.lit(0)).alias("n_example"), F.coalesce("n_live", F.lit(0)).alias("n_live"))
+        "id", "spans", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_example", "n_live", "repositories")])
 
 
 def number_of(kind: str) -> Column:
@@ -130,4 +134,4 @@ def op8_secrets(docs: DataFrame) -> DataFrame:
     counts = [number_of(kind).cast("long").alias(f"n_{kind}") for kind in base]
     return find_secrets(docs, repository="doc_id").select(
         F.col("id").alias("doc_id"), *counts, F.sha2(joined(base), 256).alias("base_sha256"),
-        joined(KINDS).alias("spans"), "n_example", "n_live")
+        joined(KINDS).alias("spans"), "n_example", "n_live", "repositories")
