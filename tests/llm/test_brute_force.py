@@ -63,22 +63,49 @@ def test_words_and_shingles(values):
 
 # op1
 
+def greedy(text, learned):
+    at = found = 0
+    while at < len(text):
+        end = at + 1
+        while end <= len(text) and text[at:end] in learned:
+            end += 1
+        at = max(at + 1, end - 1)
+        found += 1
+    return found
+
+
 def test_phrases_are_the_greedy_parse():
     rng = random.Random(1)
     sample = "".join(rng.choice("abc d") for _ in range(400))
     model = language_id.fit({"x": [sample]})
     learned = " " + language_id.plain(sample) + " "
-    for n in (1, 7, 200, 256):
-        text = language_id.plain("".join(rng.choice("abcz d") for _ in range(n)))
-        counts, sizes, _ = language_id.phrases(model, *texts.code_points(pa.array([text])))
-        at = found = 0
-        while at < len(text):
-            end = at + 1
-            while end <= len(text) and text[at:end] in learned:
-                end += 1
-            at = max(at + 1, end - 1)
-            found += 1
-        assert counts[0, 0] == found and sizes[0] == len(text)
+    made = [language_id.plain("".join(rng.choice("abcz d") for _ in range(n))) for n in (1, 7, 200, 512, 513, 1000, 5000, 100_000)]
+    counts, sizes, _ = language_id.phrases(model, *texts.code_points(pa.array(made)))
+    assert counts[:, 0].tolist() == [greedy(t, learned) for t in made] and sizes.tolist() == [len(t) for t in made]
+
+
+def test_phrases_run_over_the_ends_of_blocks():
+    rng = random.Random(2)
+    sample = "".join(rng.choice("abcd") for _ in range(3000))
+    model = language_id.fit({"x": [sample], "y": ["ab" * 2000]})
+    made = [sample[100:980], sample[:3000], sample[7:2500] + sample[7:2500], "ab" * 1500, "ba" * 1500 + "b", "a" * 1200]
+    counts, _, _ = language_id.phrases(model, *texts.code_points(pa.array(made)))
+    assert counts[0, 0] == counts[1, 0] == counts[3, 1] == 1
+    for at, learned in enumerate((sample, "ab" * 2000)):
+        assert counts[:, at].tolist() == [greedy(t, f" {learned} ") for t in made]
+
+
+def test_every_sampled_letter_is_told_apart():
+    rng = random.Random(3)
+    here, there = ([chr(first + i) for i in range(700)] for first in (0x4E00, 0x4E00 + 350))
+    write = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    samples = {"x": [write(here, 3000)], "y": [write(there, 3000)]}
+    model = language_id.fit(samples)
+    made = [write(here, 1500), write(there, 1500), samples["x"][0][5:2000], "latin " + write(here, 600)]
+    counts, _, _ = language_id.phrases(model, *texts.code_points(pa.array(made)))
+    for at, name in enumerate(("x", "y")):
+        assert counts[:, at].tolist() == [greedy(t, f" {samples[name][0]} ") for t in made]
+    assert language_id.predict(model, *texts.code_points(pa.array(made)))[0] == ["x", "y", "x", "x"]
 
 
 def test_languages_of_held_out_documents(spark):
@@ -391,6 +418,35 @@ def test_search_on_random_vectors(spark):
             assert got[q] == [(-s, i) for s, i in best]
 
 
+def test_search_passes_scores_between_shards(spark, monkeypatch):
+    """Small shards and blocks, repeated ids, repeated rows and many equal scores at the last rank."""
+    monkeypatch.setattr(vector_search, "SHARD_ROWS", 40)
+    monkeypatch.setattr(vector_search, "QUERY_ROWS", 16)
+    rng = np.random.default_rng(8)
+    rows = [(int(i) // 2 * 2, v.tolist()) for i, v in enumerate(rng.integers(-2, 3, size=(600, 5)).astype(np.float32))]
+    rows += rows[:40] + rows[20:30]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(7)
+    got = Counter(tuple(r) for r in vector_search.op7_vector_search(frame).select("query_id", "rank", "vec_id", "score").collect())
+    ids, z = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]).astype(np.int64) * 64
+    want: Counter = Counter()
+    for q in np.flatnonzero(ids % 20 == 0):
+        ranked = sorted((-int(s), int(ids[i])) for i, s in enumerate(z @ z[q]) if i != q)[:20]
+        want.update((int(ids[q]), n, i, -s) for n, (s, i) in enumerate(ranked, 1))
+    assert got == want and max(want.values()) > 1
+
+
+def test_bounds_leave_no_better_vector_out():
+    rng = np.random.default_rng(9)
+    vectors = np.round(rng.normal(size=(3000, 48)) * 40 / np.arange(1, 49)).astype(np.int64)
+    queries = np.round(rng.normal(size=(150, 48)) * 40 / np.arange(1, 49)).astype(np.int64)
+    beat, seen = np.full(150, -np.inf), [[] for _ in queries]
+    for shard in np.split(vectors, 6):
+        for at, _, score in vector_search.best(queries, shard, 9, beat):
+            seen[at] += score.tolist()
+    whole = -np.sort(-(queries @ vectors.T), axis=1)[:, :9]
+    assert [sorted(s, reverse=True)[:9] for s in seen] == whole.tolist() and (beat <= whole[:, 8]).all()
+
+
 # op8
 
 def test_secret_spans(spark, documents):
@@ -407,8 +463,10 @@ def test_secret_spans(spark, documents):
 def test_copied_examples_are_told_from_live_values(spark):
     rows = [(i, f"token = {'Zx81kQ0pLmN4' if i < 6 else 'q9W8e7R6t5Y4'}", f"owner{i % 5 if i < 6 else 9}") for i in range(8)]
     rows += [(8, "token = aaaaaaaaaaaa", "owner1")]
-    got = {r["doc_id"]: (r["n_example"], r["n_live"]) for r in secrets.op8_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert got == {i: (1, 0) for i in range(6)} | {6: (0, 1), 7: (0, 1), 8: (0, 0)}
+    rows += [(9, "nothing", None), (10, None, "owner2")]
+    got = {r["doc_id"]: (r["n_example"], r["n_live"], r["repositories"])
+           for r in secrets.op8_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {i: (1, 0, 6) for i in range(6)} | {6: (0, 1, 2), 7: (0, 1, 2), 8: (0, 0, 1), 9: (0, 0, 0), 10: (0, 0, 0)}
 
 
 # op9

@@ -125,9 +125,11 @@ def test_search_of_odd_vectors(spark):
             (4, [None, 1.0], "x"), (5, [float("inf")], "x"), (6, [], "x"), (40, [0.5, -0.25], "x"), (None, [1.0], "x")]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
     got = [tuple(r) for r in vector_search.op7_vector_search(frame).orderBy("query_id", "rank").collect()]
-    # candidates: 1 and the row without id (32 * 64), 6 (0), the other query's rows (1280)
+    # 0.5 is 32, -0.25 is -16, 1.0 is 64; every query row has a ranking of its own, without itself
+    ranked = [(1, None, 2048), (2, 1, 2048), (4, 20, 1280), (5, 6, 0)]
+    assert [g for g in got if g[0] == 40] == sorted([(40, *r) for r in ranked] + [(40, 3, 20, 1280)], key=lambda g: g[1])
+    assert [g for g in got if g[0] == 20] == sorted(2 * ([(20, *r) for r in ranked if r[0] != 4] + [(20, 3, 20, 1280), (20, 4, 40, 1280)]), key=lambda g: g[1])
     assert {g[0] for g in got} == {20, 40}
-    assert [g[2:] for g in got if g[0] == 40] [:2] == [(None, 2048), (1, 2048)] or [g[2:] for g in got if g[0] == 40][0][1] == 2048
     assert vector_search.op7_vector_search(frame.limit(0)).collect() == []
 
 
