@@ -9,6 +9,8 @@ from pactlens import domain as D
 from pactlens.functions import scoring
 
 CLAUSE_KEY = ["contract_id", "clause_index"]
+DIGEST_BYTES = 4096  # of a piece of a digest
+DIGEST_CELL = 256  # positions whose lines are laid out together
 
 
 def owned_by(contracts: DataFrame, owners: DataFrame) -> DataFrame:
@@ -156,8 +158,8 @@ def risk_percentile(scored: DataFrame, *keys: str, score: str = "model_score") -
     return scored.join(percentiles, [*keys, score], "left")
 
 
-def contract_digest(scored: DataFrame, findings: DataFrame) -> DataFrame:
-    """Clause lines in order, then finding lines, as one text per contract."""
+def digest_lines(scored: DataFrame, findings: DataFrame) -> DataFrame:
+    """(contract_id, part, position, line): clause lines are part 0, finding lines part 1."""
     clause_lines = scored.select(
         "contract_id", F.lit(0).alias("part"), F.col("clause_index").alias("position"),
         scoring.digest_line(
@@ -168,12 +170,50 @@ def contract_digest(scored: DataFrame, findings: DataFrame) -> DataFrame:
     finding_lines = findings.select(
         "contract_id", F.lit(1).alias("part"), order.alias("position"),
         scoring.finding_line(F.col("title"), F.col("detail")).alias("line"))
-    lines = clause_lines.unionByName(finding_lines)
+    return clause_lines.unionByName(finding_lines)
+
+
+def contract_digest(scored: DataFrame, findings: DataFrame) -> DataFrame:
+    """Clause lines in order, then finding lines, as one text per contract.
+
+    Each contract is one row; ``digest_parts`` is for contracts of any size.
+    """
     ordered = F.sort_array(F.collect_list(F.struct("part", "position", "line")))
-    return lines.groupBy("contract_id").agg(
+    return digest_lines(scored, findings).groupBy("contract_id").agg(
         F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("digest"))
 
 
+def digest_parts(scored: DataFrame, findings: DataFrame, budget: int = DIGEST_BYTES, cell: int = DIGEST_CELL) -> DataFrame:
+    """The digest as pieces of at most ``budget`` bytes: (contract_id, part, cell, piece, text).
+
+    In the order of part, cell and piece, the texts of a contract put together
+    are its digest with a newline at the end of every line. A cell holds the
+    lines of ``cell`` neighbouring positions, so that no task sees a whole
+    contract; inside it, a line goes to the piece in whose half of the budget
+    it starts. Lines of more than an eighth of the budget in characters are
+    cut, as a character takes four bytes at most. Null lines are left out, as
+    in the digest; lines without a position come first.
+    """
+    if budget < 64:
+        raise ValueError("a piece needs 64 bytes")
+    size = budget // 8
+    lines = digest_lines(scored, findings).filter(F.col("line").isNotNull()).withColumn(
+        "cell", F.coalesce(F.floor(F.col("position") / cell), F.lit(-1)).cast("long"))
+    key = ["contract_id", "part", "cell"]
+    cuts = F.sequence(F.lit(0), F.floor(F.length("line") / size).cast("int"))
+    numbered = lines.withColumns({
+        "at": F.row_number().over(Window.partitionBy(*key).orderBy("position", "line")),
+        "whole": F.concat("line", F.lit("\n"))})
+    cut = numbered.select(*key, "at", "whole", F.explode(cuts).alias("n")).select(
+        *key, "at", "n", F.substring("whole", F.col("n") * size + 1, F.lit(size)).alias("text"))
+    before = Window.partitionBy(*key).orderBy("at", "n").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0))
+    placed = cut.withColumn("piece", F.floor(start / (budget // 2)))
+    ordered = F.sort_array(F.collect_list(F.struct("at", "n", "text")))
+    return placed.groupBy(*key, "piece").agg(
+        F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("text"))
+
+
 def executive_summary(distribution: DataFrame, clauses: DataFrame) -> DataFrame:
     """Offline summary text per contract from its distribution and gaps."""
     titles = F.array(*[F.lit(row[3]) for row in D.PROTECTIONS])

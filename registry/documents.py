@@ -177,6 +177,21 @@ def s5(t: Tables):
     return K.latest_answers(lines).withColumn("risk_factors", F.array_join("risk_factors", "|"))
 
 
+@query("s5_cache_appends", """SELECT 'k' || user_id AS key, 's' || coalesce(odd, even) AS plain_language_summary, user_id::VARCHAR || '|f' AS risk_factors,
+    coalesce(odd, even) / 8.0::DOUBLE AS dspy_risk_score FROM (SELECT user_id, max(event_id) FILTER (event_id % 2 = 0) AS even,
+    max(event_id) FILTER (event_id % 2 = 1) AS odd FROM events GROUP BY 1)""")
+def s5_appends(t: Tables):
+    """Answers for even events, then those for odd ones, appended to one cache and read back: the later append wins."""
+    folder = fresh_path(t.spark, "answers")
+    user = F.col("user_id").cast("string")
+    for rest in (0, 1):
+        newest = t.events.filter(F.col("event_id") % 2 == rest).groupBy("user_id").agg(F.max("event_id").alias("e"))
+        K.append_answers(newest.select(
+            F.concat(F.lit("k"), user).alias("key"), F.concat(F.lit("s"), F.col("e").cast("string")).alias("plain_language_summary"),
+            F.array(user, F.lit("f")).alias("risk_factors"), (F.col("e") / 8).alias("dspy_risk_score")), folder)
+    return K.latest_answers(K.read_answer_lines(t.spark, folder)).withColumn("risk_factors", F.array_join("risk_factors", "|"))
+
+
 def _risk_report(t: Tables):
     pairs = t.labels.withColumns({"gold_high": F.col("toxic") == 1, "predicted_high": F.col("quality") == 0})
     return E.binary_metrics(pairs).select(

@@ -669,14 +669,14 @@ def f12(t: Tables):
         "contract_id", "clause_index", S.model_level(F.col("model_score")).alias("model_level"))
 
 
-_DIGEST_SQL = (
-    "SELECT contract_id, string_agg(line, chr(10) ORDER BY part_, pos) AS digest FROM ("
+_DIGEST_LINES_SQL = (
     "SELECT s.contract_id, 0 AS part_, s.clause_index AS pos, '#' || s.clause_index || ' [' || "
     "c.clause_type || '] risk=' || s.risk_level || ': ' || substr(s.summary, 1, 140) AS line FROM "
     "scores s JOIN clauses c USING (contract_id, clause_index) UNION ALL SELECT k.contract_id, 1, p.ord, "
     "'MISSING PROTECTION: ' || p.title || ' — ' || p.detail FROM (SELECT DISTINCT contract_id FROM "
     "clauses) k CROSS JOIN protections p WHERE NOT EXISTS (SELECT 1 FROM clauses c WHERE c.contract_id "
-    "= k.contract_id AND c.clause_type = p.required_type)) GROUP BY 1")
+    "= k.contract_id AND c.clause_type = p.required_type)")
+_DIGEST_SQL = f"SELECT contract_id, string_agg(line, chr(10) ORDER BY part_, pos) AS digest FROM ({_DIGEST_LINES_SQL}) GROUP BY 1"
 _PROTECTIONS_SQL = "SELECT * FROM (VALUES " + ", ".join(
     "(" + ", ".join(quoted(v) for v in row) + f", {i})" for i, row in enumerate(D.PROTECTIONS)
 ) + ") v(pain_point, required_type, severity, title, detail, ord)"
@@ -693,6 +693,20 @@ def u4(t: Tables):
     return _digest(t)
 
 
+_PARTS_SQL = (
+    "SELECT contract_id, part, cell, piece, string_agg(line, '' ORDER BY pos) AS text FROM (SELECT *, "
+    "CAST(coalesce(sum(strlen(line)) OVER (PARTITION BY contract_id, part, cell ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) "
+    "// 2048 AS BIGINT) AS piece FROM (SELECT contract_id, part_ AS part, pos, CAST(pos // 256 AS BIGINT) AS cell, line || chr(10) AS line FROM ("
+    + _DIGEST_LINES_SQL + "))) GROUP BY 1, 2, 3, 4")
+
+
+@query("u4_digest_parts", with_ctes(_PARTS_SQL, "scores", protections=_PROTECTIONS_SQL))
+def u4_parts(t: Tables):
+    """The digest in pieces of at most 4 096 bytes."""
+    clauses = t.clauses().select("contract_id", "clause_index", "clause_type")
+    return C.digest_parts(C.scored_clauses(clauses, t.scores()), C.missing_protections(clauses, "contract_id"))
+
+
 @query("f29_digest_line", with_ctes(
     "SELECT s.contract_id, s.clause_index, '#' || s.clause_index || ' [' || c.clause_type || "
     "'] risk=' || s.risk_level || ': ' || substr(s.summary, 1, 140) AS line FROM scores s "
