@@ -20,25 +20,40 @@ def stream_of(t: Tables, name: str, order: str = "ts", batches: int = BATCHES):
     """The whole table as a stream of several micro-batches in the order of a column.
 
     The table is written in ``batches`` parts, one after the other, as the
-    source takes files by the time they were written.
+    source takes files by the time they were written. Every part has the same
+    number of files, which grows with the table and of which none is empty.
     """
     static = getattr(t, name)
     if order == "ts":
         static = static.withColumn("ts", F.col("ts").cast("timestamp"))
     place = F.col(order).cast("double")
     cuts = static.select(F.percentile_approx(place, [i / batches for i in range(1, batches)], 1000)).first()[0] or []
-    folder = fresh_path(t.spark, f"stream-{name}")
-    files = max(1, static.rdd.getNumPartitions() // (8 * batches))  # of each part; few rows may fill one partition only
+    parts = []
     for low, high in zip([None, *cuts], [*cuts, None]):
-        part = static
+        inside = F.lit(True)
         if low is not None:
-            part = part.filter(place > low)
+            inside = place > low
         if high is not None:
-            part = part.filter((place <= high) if low is not None else (place <= high) | place.isNull())
-        part.coalesce(files).write.mode("append").parquet(folder)
+            inside = inside & (place <= high) if low is not None else (place <= high) | place.isNull()
+        parts.append(inside)
+    folder = fresh_path(t.spark, f"stream-{name}")
+    files = files_of(static, parts)
+    for inside in parts:
+        static.filter(inside).repartition(files).write.mode("append").parquet(folder)
     return t.spark.readStream.schema(static.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
+def files_of(static, parts) -> int:
+    """Files of each part: as many as the table's splits make of it, but so few that none stays empty.
+
+    Rows are dealt out in turn, so a split with as many rows as there are
+    files fills all of them, and a part of ``files * splits`` rows has such a split.
+    """
+    splits = max(1, static.rdd.getNumPartitions())
+    rows = static.agg(*[F.count_if(inside).alias(f"p{i}") for i, inside in enumerate(parts)]).first()
+    return max(1, min(-(-splits // len(parts)), min(rows) // splits))
+
+
 @query("t1_incremental_scoring", with_ctes(
     f"SELECT doc_id, clause_index, clause_type, {LEVEL_SQL} AS risk_level, 1::BIGINT AS times_scored FROM h", "doc_clauses", **_DOC_CTES))
 def t1(t: Tables):
