@@ -49,7 +49,7 @@ def rare_first(sets: DataFrame) -> DataFrame:
     ordered = F.sort_array(F.collect_list(F.struct("df", "token")))
     shared = tokens.join(frequency, "token").groupBy("id").agg(ordered.alias("pairs")).select(
         "id", F.transform("pairs", lambda p: p["token"]).alias("shared"))
-    return sets.join(shared, "id").withColumn("skipped", F.col("n") - F.size("shared"))
+    return sets.select("id", "n").join(shared, "id").withColumn("skipped", F.col("n") - F.size("shared"))
 
 
 def prefix_members(ordered: DataFrame, threshold: float) -> DataFrame:
@@ -236,9 +236,9 @@ def near_duplicates(
     """
     sets = shingle_sets(rows, id_col, text)
     firsts, copies = collapse_copies(sets)
-    ordered = cut_lineage(rare_first(firsts))
-    prefixes = _live_members(prefix_members(ordered, threshold))
-    shingles = cut_lineage(ordered.select("id", "shingles").join(
+    # of a row's shared shingles only the prefix is written
+    prefixes = _live_members(cut_lineage(prefix_members(rare_first(firsts), threshold)))
+    shingles = cut_lineage(firsts.select("id", "shingles").join(
         cut_lineage(prefixes.select("id").distinct()), "id", "left_semi"))
     members = cut_lineage(prefixes.join(shingles.select("id", _bitmap(F.col("shingles")).alias("bits")), "id"))
     dropped = rows.sparkSession.createDataFrame([], "id long, keeper_id long, jaccard double")
