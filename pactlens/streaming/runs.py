@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,9 @@ from pactlens.sources.stores import last_write
 from pactlens.streaming import commits
 
 PAGE_CHARS = 256
+RUN_BUCKETS = 512  # hash buckets whose runs share one state
+RUN_STATE = {"run_id": "int64", "started": "int64", "settled": "bool", "due": "int64"}  # of the runs of a bucket
+NEVER = 1 << 62  # milliseconds that no event has
 
 
 PROGRESS_SCHEMA = "run_id long, since timestamp, done long, succeeded long, failed long"
@@ -87,45 +91,59 @@ def audit_views(
         F.col("window.start").alias("hour"), "page", "views", "owned_views")
 
 
-def stale_run_alerts(events: DataFrame, timeout_seconds: int, delay: str = "10 minutes") -> DataFrame:
+def _seen(frame: pd.DataFrame) -> pd.DataFrame:
+    """First, last and first final event of every run in a frame, in milliseconds."""
+    ms = frame["ts"].astype("datetime64[us]").astype("int64") // 1000
+    ends = ~frame["status"].isin(D.ACTIVE_STATUSES)
+    return pd.DataFrame({"run_id": frame["run_id"], "first": ms, "last": ms, "over": ms.where(ends, NEVER)}).groupby("run_id").agg(
+        {"first": "min", "last": "max", "over": "min"})
+
+
+def stale_run_alerts(events: DataFrame, timeout_seconds: int, delay: str = "10 minutes", buckets: int = RUN_BUCKETS) -> DataFrame:
     """(run_id, ts, status) stream -> one failed row for each run that isn't over in time.
 
     A run is over when an event with a final status lies within the timeout of
     its first event. A settled run stays in state until it has been silent for
     another timeout, so late events neither start it again nor alert twice.
+    The runs of a hash bucket share one state and are handled together, as a
+    call per run costs far more than its few events; the bucket's timer is its
+    next run's. Events without a time are left out; those without a run are one.
     """
     limit = timeout_seconds * 1000
 
-    def alert(run: int, started: int) -> pd.DataFrame:
-        return pd.DataFrame({"run_id": [run], "started_ms": [started], "status": ["failed"],
-                             "error_message": [D.STALE_RUN_MESSAGE]})
-
     def watch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        started, settled = state.get if state.exists else (None, False)
-        if state.hasTimedOut:
-            if settled:
-                state.remove()
-                return
-            yield alert(key[0], started)
-            state.update((started, True))
-            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + limit)
-            return
-        over, last = None, 0
-        for frame in frames:
-            stamps = frame["ts"].astype("datetime64[us]").astype("int64") // 1000
-            first, last = int(stamps.min()), max(last, int(stamps.max()))
-            started = first if started is None else min(started, first)
-            ends = stamps[~frame["status"].isin(D.ACTIVE_STATUSES)]
-            if len(ends):
-                over = int(ends.min()) if over is None else min(over, int(ends.min()))
-        if over is not None and not settled:
-            if over > started + limit:
-                yield alert(key[0], started)
-            settled = True
-        state.update((started, settled))
-        due = (last if settled else started) + limit
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-
-    return events.withWatermark("ts", delay).groupBy("run_id").applyInPandasWithState(
+        now = state.getCurrentWatermarkMs()
+        held = pd.DataFrame(dict(zip(RUN_STATE, state.get if state.exists else ([],) * len(RUN_STATE)))).astype(RUN_STATE).set_index("run_id")
+        seen = [_seen(frame) for frame in frames if len(frame)]
+        new = pd.concat(seen).groupby(level=0).agg({"first": "min", "last": "max", "over": "min"}) if seen else None
+        changed, late = held.iloc[:0], held.iloc[:0]
+        if new is not None:
+            started = np.minimum(new["first"], held["started"].reindex(new.index, fill_value=NEVER))
+            settled = held["settled"].reindex(new.index, fill_value=False)
+            ended = (new["over"] < NEVER) & ~settled
+            due = np.maximum(new["last"].where(settled | ended, started) + limit, now + 1)
+            changed = pd.DataFrame({"started": started, "settled": settled | ended, "due": due})
+            late = changed[ended & (new["over"] > started + limit)]
+        # timers of the runs without an event in this batch
+        silent = held[~held.index.isin(changed.index)]
+        fired = silent["due"] < now
+        stale = silent[fired & ~silent["settled"]]
+        kept = pd.concat([changed, silent[~fired], stale.assign(settled=True, due=now + limit)]).reset_index()
+        alerts = pd.concat([late, stale]).reset_index()
+        if len(alerts):
+            named = alerts["run_id"] if key[0] >= 0 else pd.array([None] * len(alerts), dtype="Int64")
+            yield pd.DataFrame({"run_id": named, "started_ms": alerts["started"], "status": "failed",
+                                "error_message": D.STALE_RUN_MESSAGE})
+        if len(kept):
+            state.update(tuple(kept[name].tolist() for name in RUN_STATE))
+            state.setTimeoutTimestamp(int(kept["due"].min()))
+        else:
+            state.remove()
+
+    run = F.col("run_id")
+    dealt = events.filter(F.col("ts").isNotNull()).select(
+        F.when(run.isNull(), -1).otherwise(F.pmod(F.xxhash64(run), F.lit(buckets))).cast("int").alias("bucket"),
+        F.coalesce(run, F.lit(0)).cast("long").alias("run_id"), "ts", "status")
+    return dealt.withWatermark("ts", delay).groupBy("bucket").applyInPandasWithState(
         watch, "run_id long, started_ms long, status string, error_message string",
-        "started_ms long, settled boolean", "append", GroupStateTimeout.EventTimeTimeout)
+        "run_id array<long>, started array<long>, settled array<boolean>, due array<long>", "append", GroupStateTimeout.EventTimeTimeout)
