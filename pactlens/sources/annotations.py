@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactlens import domain as D
@@ -106,24 +106,32 @@ def resolve_spans(documents: DataFrame, clauses: DataFrame) -> tuple[DataFrame,
     bound = documents.select(
         "doc_id", T.normalise_whitespace(F.col("text")).alias("text")).join(ordered, "doc_id")
     rows = bound.withColumn("spans", T.resolve_anchors(F.col("text"), F.col("clauses"))).select(
-        "doc_id", "text", F.posexplode("spans").alias("position", "span")).select("doc_id", "text", "position", "span.*")
-    problems = rows.select(
+        "doc_id", "text", F.transform("spans", lambda s, i: F.struct(i.alias("position"), s["id"].alias("id"), s["start"].alias("start"), s[
+            "end"].alias("end"), s["start_problem"].alias("start_problem"), s["end_problem"].alias("end_problem"))).alias("spans"))
+    problems = rows.select("doc_id", F.inline("spans")).select(
         "doc_id", "id", F.explode(F.array_compact(F.array(
             F.when(F.col("start_problem").isNotNull(), F.struct(
                 F.lit("anchor_start").alias("anchor"), F.col("start_problem").alias("problem"))),
             F.when(F.col("end_problem").isNotNull(), F.struct(
                 F.lit("anchor_end").alias("anchor"), F.col("end_problem").alias("problem"))),
         ))).alias("p")).select("doc_id", "id", "p.anchor", "p.problem")
-    return close_open_ends(rows.filter(F.col("start").isNotNull())), problems
+    return close_open_ends(rows), problems
 
 
-def close_open_ends(staged: DataFrame) -> DataFrame:
-    """Spans without an end run to the next span's start, or to the text's end."""
-    following = F.lead("start").over(Window.partitionBy("doc_id").orderBy("position"))
-    end = F.coalesce(
-        F.col("end"),
-        F.greatest(F.col("start"), F.coalesce(following, F.length("text"))))
-    return staged.withColumn("end", end).select(
+def close_open_ends(bound: DataFrame) -> DataFrame:
+    """Spans without an end run to the next span's start, or to the text's end.
+
+    ``bound`` has one row per document with its ordered ``spans``. They are
+    closed inside the row, so that no text is shuffled once per span.
+    """
+    def close(starts: Column) -> Column:
+        return F.transform(starts, lambda s, i: F.struct(
+            s["position"].alias("position"), s["id"].alias("id"), s["start"].alias("start"),
+            F.coalesce(s["end"], F.greatest(s["start"], F.coalesce(F.get(starts, i + 1)["start"], F.col("length")))).alias("end")))
+
+    started = F.filter("spans", lambda s: s["start"].isNotNull())
+    closed = bound.withColumn("length", F.length("text")).withColumn("spans", T.bind(started, close))
+    return closed.select("doc_id", "text", F.inline("spans")).select(
         "doc_id", "position", "id", "start", "end",
         F.expr("substring(text, start + 1, greatest(end - start, 0))").alias("span_text"))
 
