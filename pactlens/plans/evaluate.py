@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -20,15 +21,39 @@ from pactlens.sources.annotations import resolve_spans
 Transform = Callable[[DataFrame], DataFrame]
 
 
-def _located(documents: DataFrame) -> DataFrame:
-    """(doc_id, found): where each document's own segments lie in its text."""
+SEARCHED = 64  # documents whose texts are Python objects at a time
+
+
+def _to_locate(documents: DataFrame) -> DataFrame:
+    """(doc_id, text, parts, lengths): what the search needs of each document.
+
+    A text that is its parts with a space between them has them at the sums of
+    their lengths, as a part starts with no space and the search goes on
+    behind the part before; of such a text only the lengths leave the JVM.
+    """
     rows = documents.select("doc_id", T.normalise_whitespace(F.col("text")).alias("text"),
                             F.transform(T.segment_text(F.col("text")), T.normalise_whitespace).alias("parts"))
+    plain = F.coalesce((F.array_join("parts", " ") == F.col("text")) & ~F.array_contains("parts", ""), F.lit(False))
+    return rows.withColumn("plain", plain).select(
+        "doc_id", *[F.when(~F.col("plain"), F.col(c)).alias(c) for c in ("text", "parts")],
+        F.when(F.col("plain"), F.transform("parts", F.length)).alias("lengths"))
+
+
+def _located(documents: DataFrame) -> DataFrame:
+    """(doc_id, found): where each document's own segments lie in its text."""
+    rows = _to_locate(documents)
+
+    def find(text: str | None, parts: list | None, lengths: list | None) -> dict | None:
+        if lengths is None:
+            return T.search_parts(text, parts)
+        return {"offsets": list(itertools.accumulate((n + 1 for n in lengths[:-1]), initial=0)) if lengths else [], "missing": None}
 
     def run(batches):
         for batch in batches:
-            found = [T.search_parts(x, p) for x, p in zip(batch.column("text").to_pylist(), batch.column("parts").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, to_arrow_type(T.LOCATED))], ["doc_id", "found"])
+            for at in range(0, batch.num_rows, SEARCHED):
+                some = batch.slice(at, SEARCHED)
+                found = [find(*row) for row in zip(*[some.column(c).to_pylist() for c in ("text", "parts", "lengths")], strict=True)]
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(found, to_arrow_type(T.LOCATED))], ["doc_id", "found"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, found {T.LOCATED.simpleString()}")
