@@ -138,16 +138,14 @@ def close_open_ends(bound: DataFrame) -> DataFrame:
 
 def draft_annotations(clauses: DataFrame) -> DataFrame:
     """Draft annotation JSON per document from its current clauses."""
-    span = T.normalise_whitespace(F.col("raw_text"))
-    tail = F.when(
-        F.length(span) > ANCHOR_END_CHARS,
-        F.expr(f"substring({'_span'}, -{ANCHOR_END_CHARS}, {ANCHOR_END_CHARS})"),
-    ).otherwise(F.col("_span"))
-    rows = clauses.withColumn("_span", span).select(
+    def anchor(quote: Column) -> Column:
+        return F.when(F.col("raw_text").isNotNull(), quote)
+
+    rows = clauses.select(
         "doc_id", F.struct(
             F.col("clause_index").alias("id"),
-            F.substring("_span", 1, ANCHOR_START_CHARS).alias("anchor_start"),
-            tail.alias("anchor_end"),
+            anchor(T.preview(F.col("raw_text"), ANCHOR_START_CHARS)).alias("anchor_start"),
+            anchor(T.preview_end(F.col("raw_text"), ANCHOR_END_CHARS)).alias("anchor_end"),
             F.col("clause_type"),
             F.lit(None).cast("boolean").alias("high_risk"),
             F.lit("").alias("risk_note")).alias("clause"))
