@@ -5,6 +5,8 @@ import time
 
 from pyspark.sql import functions as F
 
+from pactlens import domain as D
+from pactlens.functions import scoring as S
 from pactlens.functions import text as T
 from pactlens.sources import annotations as N
 from pactlens.sources import pages as P
@@ -63,3 +65,26 @@ def test_the_end_of_a_long_text_is_read_alone(spark):
         assert seconds(lambda x: T.preview_end(x, 30)) < whole * 0.6
     finally:
         rows.unpersist()
+
+
+def test_parts_are_stripped_as_by_the_plain_strip(evaluate):
+    texts = [None, *("\n\n".join(pair) for pair in zip(odd_texts(1500), reversed(odd_texts(1500)))), "a\n\n 　\n\n\xa0b\x1c\n\n~\n\n!"]
+    plain = lambda x: F.filter(F.transform(F.split(x, rf"\n{T.WS}*\n"), T.strip), lambda part: part != "")
+    assert evaluate(texts, T.split_blank_lines) == evaluate(texts, plain)
+
+
+def test_keywords_as_found_in_the_string(evaluate):
+    words = [word for rule in D.KEYWORD_RULES for word in rule[2]]
+    texts = [None, "", "É fée", "İP ", *words, *(word.upper() for word in words), *(word[:-1] for word in words),
+             *("ß" + a[1:] + "😀" + b for a, b in zip(words, reversed(words))), *odd_texts(300)]
+    hits = [any(w in t for w in words) for t in evaluate(texts[1:], F.lower)]
+    found = evaluate(texts, S.classify_keywords)
+    assert [r["confidence"] != D.KEYWORD_DEFAULT[1] for r in found] == [False, *hits]
+    firsts = [next((r[0] for r in D.KEYWORD_RULES if any(w in word for w in r[2])), None) for word in words]
+    assert [r["clause_type"] for r in found[4:4 + len(words)]] == firsts
+
+
+def test_keywords_are_sought_in_bytes(spark):
+    rows = spark.range(1).select(F.col("id").cast("string").alias("x")).select(S.classify_keywords(F.col("x")).alias("c"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Contains(") == 0 and "contains(" in plan
