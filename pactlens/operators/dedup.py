@@ -29,13 +29,13 @@ def shingle_sets(rows: DataFrame, id_col: str = "id", text: str = "text") -> Dat
 
 def collapse_copies(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows with equal shingle sets -> (first row of each set, id -> first_id of the rest)."""
-    keyed = cut_lineage(sets).withColumn("n", F.size("shingles"))
+    keyed = cut_lineage(sets)
     keys = keyed.select(
         "id", F.sha2(F.array_join(F.col("shingles"), ","), 256).alias("set_key"))
     first = keys.groupBy("set_key").agg(F.min("id").alias("first_id"))
     copies = keys.join(first, "set_key").filter("id <> first_id").select("id", "first_id")
     firsts = keyed.join(first.select(F.col("first_id").alias("id")), "id", "left_semi")
-    return firsts, copies
+    return firsts.withColumn("n", F.size("shingles")), copies
 
 
 def rare_first(sets: DataFrame) -> DataFrame:
@@ -44,29 +44,36 @@ def rare_first(sets: DataFrame) -> DataFrame:
     ``skipped`` counts the shingles no other row has; they come first in the
     global order and can never produce a candidate.
     """
-    tokens = sets.select("id", F.explode("shingles").alias("token"))
-    frequency = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    # a row holds a token once, so no token has more rows than there are sets; they move by token a single time.
+    # explode() would filter the sets below their shuffle, which then served no one else
+    frequency = F.count("*").over(Window.partitionBy("token"))
+    tokens = sets.select("id", F.explode_outer("shingles").alias("token")).withColumn("df", frequency).filter(
+        "df > 1 AND token IS NOT NULL")
     ordered = F.sort_array(F.collect_list(F.struct("df", "token")))
-    shared = tokens.join(frequency, "token").groupBy("id").agg(ordered.alias("pairs")).select(
+    shared = tokens.groupBy("id").agg(ordered.alias("pairs")).select(
         "id", F.transform("pairs", lambda p: p["token"]).alias("shared"))
     return sets.select("id", "n").join(shared, "id").withColumn("skipped", F.col("n") - F.size("shared"))
 
 
-def prefix_members(ordered: DataFrame, threshold: float) -> DataFrame:
-    """(token, id, n, place, indexes): the rare prefix of each row.
-
-    Two rows at or above the threshold share a token in the longer probing
-    prefix of the larger row and the shorter indexing prefix of the smaller.
-    """
+def prefixes_of(ordered: DataFrame, threshold: float) -> DataFrame:
+    """(id, n, skipped, indexing, prefix): the rows with a shared token in their rare prefix."""
     slack = 1e-9
     probing = F.col("n") - F.ceil(F.col("n") * threshold - slack).cast("int") + 1
     indexing = F.col("n") - F.ceil(
         F.col("n") * (2 * threshold / (1 + threshold)) - slack).cast("int") + 1
     kept = F.greatest(probing - F.col("skipped"), F.lit(0))
+    return ordered.select(
+        "id", "n", "skipped", indexing.alias("indexing"), F.slice("shared", F.lit(1), kept).alias("prefix")).filter(F.size("prefix") > 0)
+
+
+def prefix_members(prefixes: DataFrame) -> DataFrame:
+    """(token, id, n, place, indexes): the rare prefix of each row.
+
+    Two rows at or above the threshold share a token in the longer probing
+    prefix of the larger row and the shorter indexing prefix of the smaller.
+    """
     return (
-        ordered.select(
-            "id", "n", "skipped", indexing.alias("indexing"),
-            F.posexplode(F.slice("shared", F.lit(1), kept)).alias("pos", "token"))
+        prefixes.select("id", "n", "skipped", "indexing", F.posexplode("prefix").alias("pos", "token"))
         .select("token", "id", "n", (F.col("skipped") + F.col("pos")).alias("place"), "indexing")
         .withColumn("indexes", F.col("place") < F.col("indexing"))
         .drop("indexing")
@@ -236,10 +243,10 @@ def near_duplicates(
     """
     sets = shingle_sets(rows, id_col, text)
     firsts, copies = collapse_copies(sets)
-    # of a row's shared shingles only the prefix is written
-    prefixes = _live_members(cut_lineage(prefix_members(rare_first(firsts), threshold)))
-    shingles = cut_lineage(firsts.select("id", "shingles").join(
-        cut_lineage(prefixes.select("id").distinct()), "id", "left_semi"))
+    # of a row's shared shingles only the prefix is written; its set is written with it, which moves all sets by id once
+    held = cut_lineage(prefixes_of(rare_first(firsts), threshold).join(firsts.select("id", "shingles"), "id"))
+    prefixes = cut_lineage(_live_members(prefix_members(held)))
+    shingles = cut_lineage(held.select("id", "shingles").join(prefixes.select("id").distinct(), "id", "left_semi"))
     members = cut_lineage(prefixes.join(shingles.select("id", _bitmap(F.col("shingles")).alias("bits")), "id"))
     dropped = rows.sparkSession.createDataFrame([], "id long, keeper_id long, jaccard double")
     for _ in range(LEADER_ROUNDS):
